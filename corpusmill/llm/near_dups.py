@@ -116,23 +116,26 @@ def _confirmed(batches):
 
 
 def _prefixes(reps: DataFrame) -> DataFrame:
-    """(token, doc): each representative under its rarest values, of those that another one has too."""
-    every = reps.select("doc", F.explode("sig").alias("token"))
+    """(token, doc, n): each representative under its rarest values, of those that another one has too."""
+    every = reps.select("doc", "n", F.explode("sig").alias("token"))
     shared = common.stash(every.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "tokens")
-    held = every.join(shared, "token").groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("t"))
+    held = every.join(shared, "token").groupBy("doc", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("t"))
     taken = F.slice("t", 1, F.greatest(F.size("t") - (MATCHES - 1), F.lit(0)))
-    return held.select("doc", F.explode(F.transform(taken, lambda x: x["token"])).alias("token"))
+    return held.select(F.explode(F.transform(taken, lambda x: x["token"])).alias("token"), "doc", "n")
 
 
 def _met(held: DataFrame, pivots: int) -> tuple[DataFrame, DataFrame]:
-    """held: (token, doc, label) of lists with several labels. Returns pairs (a, b, la, lb) of documents and labels, a < b,
-    and the pivots' postings. Pivots are of the labels that have the fewest members in the list: once these are through,
-    the rest hangs together."""
-    order = Window.partitionBy("token").orderBy("members", "doc")
+    """held: (token, doc, n, own, label) of lists with several labels. Returns pairs (a, b, la, lb) of documents and
+    labels, a < b, whose sets can be alike enough, and the pivots' postings. Pivots are of the labels that have the fewest
+    members in the list: once these are through, the rest hangs together; of these, those with the fewest shingles of
+    their own, which most others are likely to be linked with."""
+    order = Window.partitionBy("token").orderBy("members", "own", "doc")
     sized_labels = common.stash(held.groupBy("token", "label").agg(F.count("*").alias("members")), "members")
     lead = held.join(sized_labels, ["token", "label"]).withColumn("r", F.row_number().over(order)).where(F.col("r") <= pivots)
-    lead = common.stash(lead.select("token", F.col("doc").alias("p"), F.col("label").alias("lp")), "pivots")
-    met = held.join(lead, "token").where((F.col("doc") != F.col("p")) & (F.col("label") != F.col("lp")))
+    lead = common.stash(lead.select("token", F.col("doc").alias("p"), F.col("label").alias("lp"), F.col("n").alias("np"), F.col("own").alias("op")), "pivots")
+    shared = F.least(F.col("n") - F.col("own"), F.col("np") - F.col("op"))
+    can = 100 * shared >= SIMILARITY * (F.col("n") + F.col("np") - shared)
+    met = held.join(lead, (held.token == lead.token) & (F.col("doc") != F.col("p")) & (F.col("label") != F.col("lp")) & can).drop(lead.token)
     first = F.col("p") < F.col("doc")
     pick = lambda x, y, name: F.when(first, F.col(x)).otherwise(F.col(y)).alias(name)
     pairs = met.select(pick("p", "doc", "a"), pick("doc", "p", "b"), pick("lp", "label", "la"), pick("label", "lp", "lb")).distinct()
@@ -151,15 +154,34 @@ def _verified(pairs: DataFrame, reps: DataFrame, sets: DataFrame) -> DataFrame:
     return common.stash(both.select("a", "b", "la", "lb", "set_a", "set_b").mapInArrow(_confirmed, "a long, b long, la long, lb long, linked boolean"), "verified")
 
 
+def _spelt(batches):
+    for batch in batches:
+        ids, sets = np.asarray(batch.column("doc_id")), [_unpacked(x) for x in batch.column("set").to_pylist()]
+        doc, h = np.repeat(ids, [len(x) for x in sets]), np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)
+        for i in range(0, len(doc), 1 << 17):
+            yield pa.RecordBatch.from_arrays([pa.array(doc[i : i + (1 << 17)]), pa.array(h[i : i + (1 << 17)])], names=["doc", "h"])
+
+
+def _with_own(held: DataFrame, sets: DataFrame) -> DataFrame:
+    """held with `own`: how many shingles of the document no other document that is still held has. They bound what it
+    can share with any."""
+    ids = held.select(F.col("doc").alias("doc_id")).distinct()
+    every = sets.join(sized(ids), "doc_id", "left_semi").mapInArrow(_spelt, "doc long, h long")
+    own = every.groupBy("h").agg(F.count("*").alias("df"), F.min("doc").alias("doc")).where("df = 1").groupBy("doc").agg(F.count("*").alias("o"))
+    return held.drop("own").join(sized(own), "doc", "left").select("token", "doc", "n", F.coalesce("o", F.lit(0)).alias("own"), "label")
+
+
 def links(reps: DataFrame, docs: DataFrame) -> DataFrame:
     """(a, b) of confirmed links that hold the components together. reps: (doc, n, sig) of distinct sets; docs: (doc_id, text)."""
-    held = common.stash(_prefixes(reps).withColumn("label", F.col("doc")), "postings")
+    held = common.stash(_prefixes(reps).withColumn("own", F.lit(0).cast("long")).withColumn("label", F.col("doc")), "postings")
     ids = held.select(F.col("doc").alias("doc_id")).distinct()
     sets = common.stash(docs.join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sets, "doc_id long, set binary"), "sets")
     seen, found, pivots = None, None, 1
     while True:
         several = held.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("token")
         held = common.stash(held.join(common.stash(several, "lists"), "token", "left_semi"), "postings")
+        if pivots > 1:
+            held = common.stash(_with_own(held, sets), "postings")
         if held.isEmpty():
             break
         pairs, gone = _met(held, pivots)
@@ -173,7 +195,7 @@ def links(reps: DataFrame, docs: DataFrame) -> DataFrame:
         rest = held.join(gone, ["token", "doc"], "left_anti")
         if not new.isEmpty():
             to = components(new.select("la", "lb").distinct(), "la", "lb").toDF("node", "to")
-            rest = rest.join(to, rest.label == to.node, "left").select("token", "doc", F.coalesce("to", "label").alias("label"))
+            rest = rest.join(to, rest.label == to.node, "left").select("token", "doc", "n", "own", F.coalesce("to", "label").alias("label"))
         held, pivots = rest, max(PIVOTS_LATER, pivots * 4)
     return found if found is not None else reps.select(F.col("doc").alias("a"), F.col("doc").alias("b")).limit(0)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from corpusmill.llm.decontamination import op5_decontamination
 from corpusmill.llm.langid import op1_language_id
 from corpusmill.llm.near_dups import op9_near_dups
+from corpusmill.llm.pieces import op2_sentencepiece
 from corpusmill.llm.pii import op7_pii
 from corpusmill.llm.quality import op4_quality
 from corpusmill.llm.secret_scan import op8_secrets
@@ -14,6 +15,9 @@ from corpusmill.llm.toxicity import op6_toxicity
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_language_id, op3_suffix_dedup, op4_quality, op5_decontamination, op6_toxicity, op7_pii, op8_secrets, op9_near_dups, op10_topk)
+    for f in (
+        op1_language_id, op2_sentencepiece, op3_suffix_dedup, op4_quality, op5_decontamination,
+        op6_toxicity, op7_pii, op8_secrets, op9_near_dups, op10_topk,
+    )
 }
 ORACLE_SQL: dict[str, str] = {"op10_topk": OP10_SQL}
