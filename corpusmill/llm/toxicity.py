@@ -25,6 +25,8 @@ CHAIN = ("insult", "coined", "toxic")
 THRESHOLD = 0.5
 #: A cue is a feature that occurs in this many toxic texts at least, and in at most this share as many clean ones.
 CUE_TEXTS, CUE_CLEAN = 8, 0.02
+#: A feature is weighed if it occurs in this many toxic texts at least, this many times as often as by chance.
+TELLING_TEXTS, TELLING_SHARE = 3, 3.0
 WORDS = common.class_table(c0=bytes(c for c in range(128) if not chr(c).isalnum()))
 
 
@@ -60,6 +62,10 @@ def train(texts: list[str], toxic: list[int]) -> list[tuple[np.ndarray, np.ndarr
         "coined": np.array([y and bool((cue[f] & (k == 1)).any()) for f, k, y in zip(rows, kinds, toxic, strict=True)], float),
         "toxic": toxic,
     }
+    # only telling features are weighed: noise from words that few texts have would drown them
+    base = max(toxic.sum(), 1) / max(len(toxic), 1)
+    telling = (bad >= TELLING_TEXTS) & (bad >= TELLING_SHARE * base * (bad + good))
+    rows = [f[telling[f]] for f in rows]
     fold = np.arange(len(rows)) % FOLDS
     earlier, chain = np.zeros((len(rows), 0)), []
     for name in CHAIN:
