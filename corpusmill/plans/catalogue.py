@@ -27,6 +27,10 @@ def query(sql: str):
     return add
 
 
+def _name() -> Column:
+    return F.concat(F.lit("lib."), F.replace("p_name", F.lit(" "), F.lit(".")))
+
+
 class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
@@ -36,7 +40,6 @@ class Tables:
 
 
 FENCE = T.FENCE
-_NAME = F.concat(F.lit("lib."), F.replace("p_name", F.lit(" "), F.lit(".")))
 _SQL_NAME = "'lib.' || replace(p_name, ' ', '.')"
 _SPACES = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}]+"
 _NORM = f"trim(regexp_replace(coalesce(text, ''), '{_SPACES}', ' ', 'g'))"
@@ -44,7 +47,7 @@ _SQL_U = "(('0x' || substr(md5({}), 1, 13))::BIGINT / 4503599627370496.0)"
 
 
 def _records(t: Tables) -> DataFrame:
-    return t.part.select(_NAME.alias("full_name"), F.col("p_brand").alias("signature"), F.col("p_type").alias("docstring"), F.col("p_partkey").alias("ordinal"), F.col("p_name").alias("name"))
+    return t.part.select(_name().alias("full_name"), F.col("p_brand").alias("signature"), F.col("p_type").alias("docstring"), F.col("p_partkey").alias("ordinal"), F.col("p_name").alias("name"))
 
 
 def _first_docs(t: Tables) -> DataFrame:
@@ -54,7 +57,7 @@ def _first_docs(t: Tables) -> DataFrame:
 def _usage(t: Tables) -> DataFrame:
     """Names by how many line items use a part of that name."""
     used = t.lineitem.select(F.col("l_partkey").alias("p_partkey")).join(t.part.select("p_partkey", "p_name"), "p_partkey")
-    return metrics.usage_counts(used.select(F.array(_NAME).alias("used_apis")))
+    return metrics.usage_counts(used.select(F.array(_name()).alias("used_apis")))
 
 
 _SQL_USAGE = f"SELECT {_SQL_NAME} AS full_name, count(*) AS use_count FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1"
@@ -119,7 +122,7 @@ def count_asserts(spark, sf_dir):
 
 @query(f"SELECT {_SQL_NAME} AS full_name, count(*) AS n FROM part GROUP BY 1")
 def mentions(spark, sf_dir):
-    p = Tables(spark, sf_dir).part.select(F.concat(F.lit("See "), _NAME, F.lit(", or xlib.no and lib alone.")).alias("text"))
+    p = Tables(spark, sf_dir).part.select(F.concat(F.lit("See "), _name(), F.lit(", or xlib.no and lib alone.")).alias("text"))
     return p.select(F.explode(T.mentions("text", "lib")).alias("full_name")).groupBy("full_name").agg(F.count("*").alias("n"))
 
 
@@ -133,7 +136,7 @@ def section_names(spark, sf_dir):
 @query(f"SELECT DISTINCT {_SQL_NAME} AS full_name FROM part UNION SELECT 'lib.' || n_name FROM nation")
 def documented_names(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    docs = t.part.select(F.col("p_partkey").alias("doc_id"), F.concat(F.lit("uses "), _NAME).alias("text"))
+    docs = t.part.select(F.col("p_partkey").alias("doc_id"), F.concat(F.lit("uses "), _name()).alias("text"))
     more = t.nation.select((-F.col("n_nationkey") - 1).cast("long").alias("doc_id"), F.concat(F.lit("class lib."), "n_name").alias("text"))
     return dedup.documented_names(docs.unionAll(more), "lib")
 
@@ -317,7 +320,7 @@ def first_records(spark, sf_dir):
 
 @query("SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 2 ELSE 1000000000 END AS depth FROM part")
 def name_depths(spark, sf_dir):
-    p = Tables(spark, sf_dir).part.select("p_partkey", F.when(F.col("p_size") % 2 == 0, _NAME).otherwise(F.concat(F.lit("libx."), "p_type")).alias("n"))
+    p = Tables(spark, sf_dir).part.select("p_partkey", F.when(F.col("p_size") % 2 == 0, _name()).otherwise(F.concat(F.lit("libx."), "p_type")).alias("n"))
     return p.select("p_partkey", dedup.depth_of("n", "lib").alias("depth"))
 
 
@@ -333,7 +336,7 @@ def relative_paths(spark, sf_dir):
 @query(f"SELECT p_type, count(*) AS n FROM part WHERE {_SQL_NAME} IN (SELECT {_SQL_NAME} FROM part WHERE p_size > 45) GROUP BY p_type")
 def mention_filter(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    pages = t.part.where("p_size > 45").select(F.col("p_partkey").alias("doc_id"), F.concat(F.lit("In "), _NAME, F.lit(" we")).alias("text"))
+    pages = t.part.where("p_size > 45").select(F.col("p_partkey").alias("doc_id"), F.concat(F.lit("In "), _name(), F.lit(" we")).alias("text"))
     records = t.part.select(F.replace("p_name", F.lit(" "), F.lit(".")).alias("qualname"), F.lit("a.py").alias("source_file"), "p_type")
     return lookup.documented(records, dedup.documented_names(pages, "lib"), "lib").groupBy("p_type").agg(F.count("*").alias("n"))
 
@@ -342,7 +345,7 @@ def mention_filter(spark, sf_dir):
 SELECT c_custkey, 0 AS pos, 'lib.none' AS n FROM customer UNION ALL SELECT c_custkey, 1, {_SQL_NAME} FROM customer JOIN part ON p_partkey = c_custkey) LEFT JOIN d ON n = full_name GROUP BY 1""")
 def ordered_docs(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    items = t.customer.join(t.part.select("p_partkey", _NAME.alias("n")), F.col("c_custkey") == F.col("p_partkey"), "left")
+    items = t.customer.join(t.part.select("p_partkey", _name().alias("n")), F.col("c_custkey") == F.col("p_partkey"), "left")
     items = items.select("c_custkey", F.array_compact(F.array(F.lit("lib.none"), "n", "n")).alias("names"))
     got = lookup.docs_for(items, "c_custkey", "names", _first_docs(t))
     return got.select("c_custkey", F.array_join(F.transform("api_docs", lambda d: F.concat(d["pos"].cast("string"), d["full_name"], F.coalesce(d["signature"], F.lit("-")))), ",").alias("docs"))
@@ -401,7 +404,7 @@ def release_range(spark, sf_dir):
 @query("SELECT count(*) AS kept, count(DISTINCT p_name) AS names FROM part")
 def run_counters(spark, sf_dir):
     p = Tables(spark, sf_dir).part
-    return p.agg(F.count("*").alias("kept"), F.count_distinct(_NAME).alias("names"))
+    return p.agg(F.count("*").alias("kept"), F.count_distinct(_name()).alias("names"))
 
 
 @query("SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS ordinal FROM documents")
@@ -427,7 +430,7 @@ def seed_apis(spark, sf_dir):
 SELECT p_partkey AS example, round(coalesce(w, 1.0), 10) AS weight FROM part LEFT JOIN (SELECT example, avg(1.0 / pow(coalesce(use_count, 0) + 1, 0.7::DOUBLE)) AS w FROM x LEFT JOIN c USING (full_name) GROUP BY 1) ON p_partkey = example""")
 def example_weights(spark, sf_dir):
     t, m, none = Tables(spark, sf_dir), F.col("p_partkey") % 10, F.array().cast("array<string>")
-    e = t.part.select(F.col("p_partkey").alias("example"), F.when(m == 0, none).when(m == 1, F.array(_NAME, F.lit("lib.none"), _NAME)).otherwise(F.array(_NAME)).alias("used_apis"), none.alias("seed_apis"))
+    e = t.part.select(F.col("p_partkey").alias("example"), F.when(m == 0, none).when(m == 1, F.array(_name(), F.lit("lib.none"), _name())).otherwise(F.array(_name())).alias("used_apis"), none.alias("seed_apis"))
     return sampling.example_weights(e, _usage(t), "example", 0.7).select("example", F.round("weight", 10).alias("weight"))
 
 
@@ -454,7 +457,7 @@ def accepted_candidates(spark, sf_dir):
 @query(f"WITH a AS ({_SQL_USAGE}), b AS (SELECT {_SQL_NAME} AS full_name, count(*) AS use_count FROM part GROUP BY 1) SELECT full_name, sum(use_count)::BIGINT AS use_count FROM (FROM a UNION ALL FROM b) GROUP BY 1")
 def counts_at_draw(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    return sampling.counted_at_draw(t.part.select(_NAME.alias("full_name")), _usage(t))
+    return sampling.counted_at_draw(t.part.select(_name().alias("full_name")), _usage(t))
 
 
 # ---------------------------------------------------------------- code
@@ -515,7 +518,7 @@ def wrapped_docs(spark, sf_dir):
 @query(f"WITH d AS ({_SQL_DOCS}) SELECT p_partkey, 'API' || chr(10) || '- ' || full_name || signature || chr(10) || '# ' || docstring || chr(10) || '- lib.none' || chr(10) AS block FROM part JOIN d ON d.full_name = {_SQL_NAME}")
 def api_blocks(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    got = lookup.docs_for(t.part.select("p_partkey", F.array(_NAME, F.lit("lib.none")).alias("names")), "p_partkey", "names", _first_docs(t))
+    got = lookup.docs_for(t.part.select("p_partkey", F.array(_name(), F.lit("lib.none")).alias("names")), "p_partkey", "names", _first_docs(t))
     return got.select("p_partkey", external.api_block(F.col("api_docs"), 360, "API").alias("block"))
 
 
