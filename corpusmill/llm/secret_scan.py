@@ -11,7 +11,7 @@ their values once; empty tables give no rows; further columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.llm import common, spans
@@ -24,8 +24,11 @@ HEX = r"(?<![0-9a-f])[0-9a-f]{24,}+"
 FURTHER = {
     "service": r"(?<![A-Za-z0-9])(?:gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35}|sk_live_[A-Za-z0-9]{16,})",
     "signed": r"(?<![A-Za-z0-9])eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+",
-    "private": r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----",
+    # To the END line; where there is none, the header with the base64 lines after it.
+    "private": r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----(?:(?:(?!-----)[\s\S])*+-----END [A-Z ]{0,20}PRIVATE KEY-----"
+    r"|(?:\s*+(?:Proc-Type|DEK-Info|Comment|Version): [^\r\n]{1,200}+)*+(?:(?:[\s\"',>#*]|\\[rn])*+[A-Za-z0-9+/=]{16,}+)*+(?:\s++[A-Za-z0-9+/]{1,15}+={1,2}+)?+)",
 }
+PRIVATE_FRAME = r"-----(?:BEGIN|END) [A-Z ]{0,20}PRIVATE KEY-----|\\[rn]|[^A-Za-z0-9+/=]"
 #: A value held by this many sources or more is a copied example.
 COPIED_SOURCES = 3
 
@@ -34,6 +37,13 @@ def _ranked(i: int):
     return lambda x: F.struct(x["start"].alias("start"), F.lit(i).alias("rank"), x.alias("x"))
 
 
+def _value(x: Column) -> Column:
+    """What ownership is counted for: of a private key its body, however it is broken into lines; without one, the match."""
+    body = F.regexp_replace(x["found"], PRIVATE_FRAME, "")
+    private = F.when(body == "", x["found"]).otherwise(body)
+    return F.when(x["kind"] == "assign", F.regexp_extract(x["found"], ASSIGN_VALUE, 1)).when(x["kind"] == "private", private).otherwise(x["found"])
+
+
 def with_candidates(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with `base` (by start, then kind as listed) and `further` spans."""
     t = F.col(f"`{text}`")
@@ -53,10 +63,9 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", owner: str =
     values are counted by distinct owner in two steps, so that a value which all rows hold is summed up before it moves."""
     rows = with_candidates(docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(owner).alias("owner")))
     rows = common.stash(rows.select("key", F.coalesce(F.xxhash64("text"), F.lit(0)).alias("row"), "owner", "base", "further"), "secrets")
-    value = lambda x: F.when(x["kind"] == "assign", F.regexp_extract(x["found"], ASSIGN_VALUE, 1)).otherwise(x["found"])
     held = rows.where((F.size("base") > 0) | (F.size("further") > 0))
     held = held.select("key", "row", "owner", F.explode(F.concat("base", "further")).alias("x"))
-    held = held.select("key", "row", "owner", "x", F.sha2(value(F.col("x")), 256).alias("value"))
+    held = held.select("key", "row", "owner", "x", F.sha2(_value(F.col("x")), 256).alias("value"))
     owners = held.groupBy("value", "owner").count().groupBy("value").agg(F.count("*").alias("owners"))
     copied = F.col("owners") >= COPIED_SOURCES
     marks = held.join(owners, "value").groupBy("key", "row").agg(

@@ -6,7 +6,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from corpusmill.llm import common, decontamination, langid, near_dups, pieces, pii, suffix_dedup, topk
+from corpusmill.llm import common, decontamination, langid, near_dups, pieces, pii, secret_scan, suffix_dedup, topk
 from corpusmill.llm.queries import ORACLE_SQL, QUERIES
 from tests.compare import SF, assert_same
 from tests.llm import brute
@@ -104,6 +104,18 @@ def test_secrets(spark, docs):
         assert rows[i].base_sha256 == brute.sha(brute.written(base)) and rows[i].n_hex == sum(k == "hex" for k, _, _ in base)
 
 
+@pytest.mark.parametrize("form", ["{h}\n{b}\n{e}", "key = '{h}\\n{b}\\n{e}'", "{h}\r\n{b}", "{h}\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00\n\n{b}\n{e} end"])
+def test_private_keys_are_owned_by_their_bodies(spark, form):
+    text = lambda k: "a " + form.format(h="-----BEGIN RSA PRIVATE KEY-----", b=f"MIIE{k * 60}\n{k * 20}==", e="-----END RSA PRIVATE KEY-----")
+    rows = [(i, text(k), f"s{i}") for i, k in enumerate("xyz")] + [(3 + i, text("w").replace("\n", "\n  " * i or "\n"), f"s{i}") for i in range(3)]
+    out = {r.doc_id: r for r in secret_scan.scan(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect()}
+    for i, t, _ in rows[:3]:
+        (x,) = out[i].spans
+        assert (x.kind, x.start) == ("private", t.index("-----BEGIN")) and "==" in x.found and (out[i].n_live, out[i].n_copied) == (1, 0)
+        assert "END" not in t or x.found.endswith("-----END RSA PRIVATE KEY-----")
+    assert all((out[i].spans, out[i].n_live, out[i].n_copied) == ([], 0, 1) for i in (3, 4, 5))
+
+
 def test_near_duplicates(spark, docs):
     want = brute.near(docs)
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got(spark, "op9_near_dups")} == want
