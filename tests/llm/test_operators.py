@@ -91,6 +91,24 @@ def test_pii_corner_cases(spark, text):
     assert [(s.kind, s.start, s.end) for s in out.base] == brute.pii(text)
 
 
+@pytest.mark.parametrize("text, found", [
+    ("write jane.doe (at) example.com. Please", "jane.doe (at) example.com"), ("or jane [at] example.org now", "jane [at] example.org"),
+    ("jane(at)mail.example.co.uk", "jane(at)mail.example.co.uk"), ("to jane.doe at example.com", "jane.doe at example.com"), ("jane at example dot com", "jane at example dot com"),
+    ("jane (at) example. com", "jane (at) example. com"), ("we met at noon. We left", None), ("look at example.com", None)])
+def test_loose_addresses(spark, text, found):
+    t, x = F.col("text"), F.col("x")
+    out = pii.with_candidates(spark.createDataFrame([(text,)], "text string")).select("text", F.explode("more").alias("x"))
+    assert [r.found for r in out.where(pii._mark(t, x) == 1).select("x.found").collect()] == ([found] if found else [])
+    assert found or not out.count()
+
+
+def test_trees_read_the_features_they_were_fitted_to(spark):
+    cards = ["4111111111111111" if i % 2 else "4111111111111112" for i in range(400)]
+    df = spark.createDataFrame([(i, f"no {c} x (at) y.zz") for i, c in enumerate(cards)], "doc_id bigint, text string")
+    out = pii.select(df, pii.fit(df)).select("doc_id", F.size(F.filter("spans", lambda s: s["kind"] == "card")).alias("n")).collect()
+    assert all(r.n == r.doc_id % 2 for r in out)
+
+
 def test_redaction(spark):
     df = spark.createDataFrame([("é x@y.z, 1.2.3.4!",), ("none",), (None,)], "text string")
     out = pii.select(df, None).select(pii.redacted(F.col("text"), F.col("spans")).alias("t")).collect()
