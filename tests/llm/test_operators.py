@@ -109,6 +109,24 @@ def test_trees_read_the_features_they_were_fitted_to(spark):
     assert all(r.n == r.doc_id % 2 for r in out)
 
 
+@pytest.mark.parametrize("dense", [0, 300])
+def test_loose_spans_do_not_hang_on_the_sample(spark, dense):
+    loose = ["tel 555 123 4567 now", "jane.doe [at] example dot org"]
+    rows = [(i, t) for i, t in enumerate(loose + ["nothing here"] * 50 + ["mail a@b.cc, not 300.1.1.1 or 555 123 4567"] * dense)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    model = pii.fit(df)
+    assert (model is None) == (dense == 0)
+    out = {r.doc_id: r.spans for r in pii.select(df, model).where("doc_id < 3").collect()}
+    assert [[s.found for s in out[i]] for i in range(3)] == [["555 123 4567"], ["jane.doe [at] example dot org"], []]
+
+
+def test_fitting_sample_holds_sparse_candidates(spark, monkeypatch):
+    monkeypatch.setattr(pii, "SAMPLE_CANDIDATES", 400)
+    monkeypatch.setattr(pii, "SAMPLE_DOCS", 400, raising=False)
+    df = spark.range(20_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 100 == 0, "x@y.zz 300.1.1.1").otherwise("none").alias("text"))
+    assert pii.fit(df) is not None
+
+
 def test_redaction(spark):
     df = spark.createDataFrame([("é x@y.z, 1.2.3.4!",), ("none",), (None,)], "text string")
     out = pii.select(df, None).select(pii.redacted(F.col("text"), F.col("spans")).alias("t")).collect()
