@@ -222,6 +222,23 @@ def test_sampled_segmentations():
     assert all(len({s for s, _ in r}) == 3 for r in rows.values())
 
 
+def check_exact(text, k=3, n=20):
+    v = pieces.vocabulary()
+    want = ways(v, b" " + text.encode())
+    offs, data = common.texts_of(pa.array([text] * n))
+    found = set()
+    for _, _, ids, log_prob, inclusion, same in pieces.sample_step(np.arange(n), offs, data, v, k):
+        assert same and log_prob == pytest.approx(np.log(want[tuple(ids)]))
+        found.add(tuple(ids))
+    return want, found, v
+
+
+@pytest.mark.parametrize("text", ["x;\r\n}\r", "/**\r\n", "a\tb\r\r\n\x01"])
+def test_pieces_with_control_characters(text):
+    want, found, v = check_exact(text, n=300)
+    assert any(len(v.bytes_of[i]) > 1 and b"\r" in v.bytes_of[i] for ids in found for i in ids)
+
+
 def test_round_trip(spark, docs):
     rows = pieces.sample(spark.createDataFrame(docs, "doc_id bigint, text string"), k=2).collect()
     texts = dict(docs)
