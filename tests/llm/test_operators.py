@@ -239,6 +239,26 @@ def test_pieces_with_control_characters(text):
     assert any(len(v.bytes_of[i]) > 1 and b"\r" in v.bytes_of[i] for ids in found for i in ids)
 
 
+def test_stretches_beyond_a_unit_stay_whole(monkeypatch):
+    monkeypatch.setattr(pieces, "UNIT", 4)
+    check_exact("theninging\u4e2d\u6587", n=100)
+
+
+@pytest.mark.parametrize("text", ["https://example.org/" + "thenationalinformation" * 40, "\u4e2d\u6587\u5b57" * 60, "a" * 3000 + " b", "\ufb4f\u0e01\u0e32" * 50])
+def test_long_stretches_are_normalised_over_all_ways(text):
+    v, raw = pieces.vocabulary(), b" " + text.encode()
+    table = {b: i for i, b in enumerate(v.bytes_of) if len(b) and i > 258}
+    most, total = max(map(len, table)), [0.0] * (len(raw) + 1)
+    for at in range(len(raw) - 1, -1, -1):
+        ids = [(n, table[raw[at : at + n]]) for n in range(1, min(most, len(raw) - at) + 1) if raw[at : at + n] in table]
+        if not any(n == len(raw[at:].decode("utf-8", "ignore")[:1].encode()) and (raw[at] & 0xC0) != 0x80 for n, _ in ids):
+            ids.append((1, int(v.byte_id[raw[at]])))
+        total[at] = np.logaddexp.reduce([np.log(v.weight[i]) + total[at + n] for n, i in ids])
+    offs, data = common.texts_of(pa.array([text] * 3))
+    for _, _, ids, log_prob, _, same in pieces.sample_step(np.arange(3), offs, data, v, 2):
+        assert same and log_prob == pytest.approx(np.log(v.weight[ids]).sum() - total[0], abs=1e-6)
+
+
 def test_round_trip(spark, docs):
     rows = pieces.sample(spark.createDataFrame(docs, "doc_id bigint, text string"), k=2).collect()
     texts = dict(docs)
