@@ -3,8 +3,8 @@
 Words are numbered in each document. The index holds postings (row, position) with the words around them, not of every
 word but of the benchmark's anchors: each benchmark window is looked up by its rarest term, intersected with the rarer
 of its neighbours at the adjacent offset; rarity is counted over all documents. A window occurs where a posting of its
-anchor, moved back by the anchor's offset, is followed by all its words. `near` finds all of an item's rarest terms
-within a span of words.
+anchor, moved back by the anchor's offset, is followed by all its words. `near` finds an item's `terms` rarest terms
+within a span of words; no query calls it.
 
 Cases: null texts have no words; items without words have no window; null item ids are left out; items that repeat an
 id have the windows of all their rows; rows that repeat a document are each answered, also with a null doc_id; empty
