@@ -7,6 +7,7 @@ earlier task of the round does; its key is free again if none of its candidates
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -68,15 +69,20 @@ class LoopOptions:
     seed: int = 0
 
 
-_QUESTION = "question string, q_error string, q_output string"
+_QUESTION = "question string, q_error string, q_output string, q_tries bigint"
 _CANDIDATE = "candidate_id bigint, ok boolean, answer string, test string, fn_name string, used_apis array<string>, error string, attempts bigint, output_tail string, judge_label bigint, judge_reason string"
 _RECORD = "question string, answer string, messages array<struct<role: string, content: string>>, test string, seed_apis array<string>, used_apis array<string>, judge struct<label: bigint, reason: string, model: string>, meta struct<question_id: string, candidate_id: bigint, attempts: bigint, k_sampled: bigint, fn_name: string, fusion_d: bigint, fusion_sources: array<string>>"
 
 
 def ask(row: dict, client, spec: SynthesisSpec, options: LoopOptions, system: str, user: str) -> dict:
-    """Question chain of a task: tries with the last error as feedback."""
+    """Question chain of a task: tries with the last error as feedback; a known question (`rejected`, after `tried` tries)
+    is such an error."""
     messages, error, text = [{"role": "system", "content": system}, {"role": "user", "content": user}], "", ""
-    for attempt in range(options.question_tries):
+    tried = int(row.get("tried") or 0)
+    if tried:
+        error = "the question is known"
+        messages += [{"role": "assistant", "content": row["rejected"]}, {"role": "user", "content": f"That was rejected: {error}. Try again."}]
+    for attempt in range(tried, options.question_tries):
         try:
             text = client.complete(messages, 1, f"q/{row['task_id']}/{attempt}")[0]
         except Exception as e:  # noqa: BLE001  a failed call is an error like any other
@@ -89,9 +95,9 @@ def ask(row: dict, client, spec: SynthesisSpec, options: LoopOptions, system: st
         elif options.check_leak and any(n in question for n in (spec.module_name, spec.module_alias)):
             error = "the question names the library"
         else:
-            return {"question": question, "q_error": None, "q_output": text[-2000:]}
+            return {"question": question, "q_error": None, "q_output": text[-2000:], "q_tries": attempt + 1}
         messages += [{"role": "assistant", "content": text}, {"role": "user", "content": f"That was rejected: {error}. Try again."}]
-    return {"question": None, "q_error": error, "q_output": text[-2000:]}
+    return {"question": None, "q_error": error, "q_output": text[-2000:], "q_tries": options.question_tries}
 
 
 def answer(row: dict, candidate: int, client, judge, runner, spec: SynthesisSpec, options: LoopOptions, user: str) -> dict:
@@ -99,6 +105,7 @@ def answer(row: dict, candidate: int, client, judge, runner, spec: SynthesisSpec
     out = {"candidate_id": candidate, "ok": False, "answer": None, "test": None, "fn_name": None, "used_apis": [], "error": "", "attempts": 0, "output_tail": "", "judge_label": None, "judge_reason": None}
     messages = [{"role": "system", "content": spec.system_message}, {"role": "user", "content": user}]
     seeds = list(row["seed_apis"] if row["seed_apis"] is not None else [])
+    must = row.get("must")
     for attempt in range(options.answer_tries):
         out["attempts"], text = attempt + 1, ""
         try:
@@ -110,6 +117,8 @@ def answer(row: dict, candidate: int, client, judge, runner, spec: SynthesisSpec
             used = C.used_names(code, spec.module_call_prefixes, spec.module_name) if not error else []
             if not error and not used:
                 error = "the answer uses no API"
+            if not error and any(len(m) and not set(used) & set(m) for m in (must if must is not None else [])):
+                error = "the answer does not use both sources"
             if not error and options.check_overlap and spec.seed_overlap_required and seeds and not set(used) & set(seeds):
                 error = "the answer uses none of the seed APIs"
             if not error and options.check_run:
@@ -131,8 +140,10 @@ def answer(row: dict, candidate: int, client, judge, runner, spec: SynthesisSpec
 
 
 class SynthesisLoop:
-    def __init__(self, spark: SparkSession, spec: SynthesisSpec, docs: DataFrame, out: str, client, runner=None, judge=None, options: LoopOptions | None = None):
-        """docs: (full_name, signature, docstring), unique. out: folder of the accepted samples and of the failures."""
+    def __init__(self, spark: SparkSession, spec: SynthesisSpec, docs: DataFrame, out: str, client, runner=None, judge=None, options: LoopOptions | None = None, stop: Callable[[], bool] | None = None):
+        """docs: (full_name, signature, docstring), unique. out: folder of the accepted samples and of the failures. stop:
+        asked before each round whether to end."""
+        self.stop = stop or (lambda: False)
         self.spark, self.spec, self.docs, self.out = spark, spec, docs, out
         self.client, self.runner, self.judge, self.options = client, runner, judge or client, options or LoopOptions()
 
@@ -148,30 +159,56 @@ class SynthesisLoop:
         seeds = drawn.join(self.docs, "full_name").groupBy("task_id").agg(F.array_sort(F.collect_list(F.struct("rank", "full_name", "signature", "docstring"))).alias("s"))
         return tasks.join(seeds, "task_id").select("task_id", "k", F.transform("s", lambda x: x["full_name"]).alias("seed_apis"), F.to_json("s", {"ignoreNullFields": "false"}).alias("context"), F.array().cast("array<string>").alias("sources"))
 
-    def shots(self, tasks: DataFrame, m: int, purpose: str) -> DataFrame:
+    def shots(self, tasks: DataFrame, m: int, purpose: str, key: str = "task_id") -> DataFrame:
         if not m:
             return tasks.withColumn(purpose, F.lit(""))
         pool = self.spark.createDataFrame([(i, s["task"], s["solution"], s["test"]) for i, s in enumerate(self.spec.few_shot_pool)], "shot int, task string, solution string, test string")
-        drawn = sampling.weighted(tasks, pool, "task_id", "shot", m, seed=self.options.seed, purpose=purpose).join(pool, "shot")
-        shots = drawn.groupBy("task_id").agg(F.array_sort(F.collect_list(F.struct("rank", "task", "solution", "test"))).alias("e"))
+        drawn = sampling.weighted(tasks, pool, key, "shot", m, seed=self.options.seed, purpose=purpose).join(pool, "shot")
+        shots = drawn.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("rank", "task", "solution", "test"))).alias("e"))
         text = external.example_lines(F.col("e")) if purpose == "shots_q" else external.example_blocks(F.col("e"))
-        return tasks.join(shots.select("task_id", text.alias(purpose)), "task_id")
+        return tasks.join(shots.select(key, text.alias(purpose)), key)
+
+    def answer_shots(self, tasks: DataFrame) -> DataFrame:
+        """tasks with `shots_a`: the examples of each candidate, drawn for it."""
+        n = self.options.candidates
+        slots = tasks.select("task_id", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("candidate")).withColumn("slot", F.col("task_id") * n + F.col("candidate"))
+        drawn = self.shots(slots, self.spec.num_few_shots_a, "shots_a", "slot")
+        each = drawn.groupBy("task_id").agg(F.array_sort(F.collect_list(F.struct("candidate", "shots_a"))).alias("e"))
+        return tasks.join(each.select("task_id", F.transform("e", lambda x: x["shots_a"]).alias("shots_a")), "task_id")
+
+    def questions(self, tasks: DataFrame, accepted: DataFrame, at: str) -> tuple[DataFrame, DataFrame]:
+        """(all tasks as last asked, those with a new question). Tasks with a known one are asked again, in passes, while
+        they have tries left."""
+        spec, o, client = self.spec, self.options, self.client
+        known = accepted.select(T.normalise_question("question").alias("key")).distinct()
+        todo, asked, taken = tasks.withColumn("rejected", F.lit(None).cast("string")).withColumn("tried", F.lit(0).cast("long")), None, None
+        for k in range(max(1, o.question_tries)):
+            got = external.mapped(todo, _QUESTION, lambda row: ask(row, client, spec, o, spec.system_message, row["user"]), ["question", "q_error", "q_output", "q_tries"])
+            got.drop("rejected", "tried").write.mode("overwrite").parquet(f"{at}/asked/{k}")
+            got = self.spark.read.parquet(f"{at}/asked/{k}")
+            lookup.unseen(got.where("question IS NOT NULL"), known).select(got.columns).write.mode("overwrite").parquet(f"{at}/taken/{k}")
+            fresh = self.spark.read.parquet(f"{at}/taken/{k}")
+            taken = fresh if taken is None else taken.unionByName(fresh)
+            again = got.where((F.col("question").isNotNull()) & (F.col("q_tries") < o.question_tries)).join(fresh.select("task_id"), "task_id", "left_anti")
+            done = got.join(again.select("task_id"), "task_id", "left_anti")
+            asked = done if asked is None else asked.unionByName(done)
+            if not again.limit(1).count():
+                break
+            known = known.unionAll(fresh.select(T.normalise_question("question").alias("key")))
+            todo = again.select(*tasks.columns, F.col("q_output").alias("rejected"), F.col("q_tries").alias("tried"))
+        return asked, taken
 
     def round(self, first: int, n: int, left: int, accepted: DataFrame, depth: int = 1) -> int:
         """Run one round of n tasks and append at most `left` samples; returns how many."""
         spec, o, client, judge, runner = self.spec, self.options, self.client, self.judge, self.runner
-        tasks = self.shots(self.shots(self.tasks(first, n, accepted), spec.num_few_shots_q, "shots_q"), spec.num_few_shots_a, "shots_a")
+        tasks = self.answer_shots(self.shots(self.tasks(first, n, accepted), spec.num_few_shots_q, "shots_q"))
         user = external.prompt("{o}\n\n{i}\n\nExamples:\n{s}\n\nAPIs:\n{c}", o=F.lit(spec.library_overview), i=F.lit(spec.question_instructions), s=F.col("shots_q"), c=F.col("context"))
-        asked = external.mapped(tasks.withColumn("user", user), _QUESTION, lambda row: ask(row, client, spec, o, spec.system_message, row["user"]), ["question", "q_error", "q_output"])
         at = f"{self.out}/rounds/{depth}-{first}"
-        asked.write.mode("overwrite").parquet(f"{at}/asked")
-        asked = self.spark.read.parquet(f"{at}/asked")
-        seen = accepted.select(T.normalise_question("question").alias("key")).distinct()
-        taken = lookup.unseen(asked.where("question IS NOT NULL"), seen)
-        user = external.prompt("{o}\n\n{i}\n\nExamples:\n{s}\n\nAPIs:\n{c}\n\nTask:\n{q}", o=F.lit(spec.library_overview), i=F.lit(spec.answer_instructions), s=F.col("shots_a"), c=F.col("context"), q=F.col("question"))
-        each = lambda row: [answer(row, i, client, judge, runner, spec, o, row["user"]) for i in range(o.candidates)]
+        asked, taken = self.questions(tasks.withColumn("user", user), accepted, at)
+        prompt = lambda shots: external.prompt("{o}\n\n{i}\n\nExamples:\n{s}\n\nAPIs:\n{c}\n\nTask:\n{q}", o=F.lit(spec.library_overview), i=F.lit(spec.answer_instructions), s=shots, c=F.col("context"), q=F.col("question"))
+        each = lambda row: [answer(row, i, client, judge, runner, spec, o, row["users"][i]) for i in range(o.candidates)]
         names = [p.split()[0] for p in _CANDIDATE.split(", ")]
-        external.mapped(taken.withColumn("user", user), _CANDIDATE, each, names).write.mode("overwrite").parquet(f"{at}/candidates")
+        external.mapped(taken.withColumn("users", F.transform("shots_a", prompt)), _CANDIDATE, each, names).write.mode("overwrite").parquet(f"{at}/candidates")
         candidates = self.spark.read.parquet(f"{at}/candidates")
         chosen = sampling.one_accepted(candidates, seed=o.seed).orderBy("task_id").limit(left)
         self.record(chosen, depth).write.mode("append").option("ignoreNullFields", "false").json(f"{self.out}/accepted")
@@ -198,7 +235,7 @@ class SynthesisLoop:
         for _ in range(self.options.max_rounds):
             accepted = self.accepted()
             have = accepted.count()
-            if have >= n:
+            if have >= n or self.stop():
                 break
             first = max(first, self.next_task())
             self.round(first, self.options.round_tasks, n - have, accepted)
@@ -234,7 +271,8 @@ class FusionLoop(SynthesisLoop):
         both = pairs.join(side("a"), "a").join(side("b"), "b")
         names = dedup.pair_union(F.col("a_used_apis"), F.col("b_used_apis"), F.col("a_seed_apis"), F.col("b_seed_apis"), self.spec.module_name)
         told = rules.template("Example A:\n{aq}\n{aa}\n{at}\n\nExample B:\n{bq}\n{ba}\n{bt}", {"aq": F.col("a_question"), "aa": F.col("a_answer"), "at": F.col("a_test"), "bq": F.col("b_question"), "ba": F.col("b_answer"), "bt": F.col("b_test")})
-        return both.select("task_id", F.size(names).alias("k"), names.alias("seed_apis"), told.alias("context"), F.array("a", "b").alias("sources"))
+        must = F.array("a_used_apis", "b_used_apis") if self.require_both_sources else F.array().cast("array<array<string>>")
+        return both.select("task_id", F.size(names).alias("k"), names.alias("seed_apis"), told.alias("context"), F.array("a", "b").alias("sources"), must.alias("must"))
 
     def run(self, n: int) -> int:
         if self.pool.limit(2).count() < 2:
@@ -242,7 +280,7 @@ class FusionLoop(SynthesisLoop):
         for _ in range(self.options.max_rounds):
             accepted = self.accepted()
             have = accepted.count()
-            if have >= n:
+            if have >= n or self.stop():
                 break
             self.round(self.next_task(), self.options.round_tasks, n - have, accepted, self.depth)
         return self.accepted().count()

@@ -148,6 +148,45 @@ def test_loop_resumes_and_fuses(spark, tmp_path):
         fuse_depths(make, again.accepted(), str(tmp_path / "x"), 4, 4, 1)
 
 
+class Noting(Script):
+    """Asks one question until told that it is known; notes the answers' prompts."""
+
+    def __init__(self, at):
+        super().__init__()
+        self.at = at
+
+    def complete(self, messages, n=1, key="", **options):
+        kind, task, *rest = key.split("/")
+        if kind == "q":
+            return [json.dumps({"question": f"Other {task}" if "is known" in messages[-1]["content"] else "Same"})]
+        with open(f"{self.at}/{key.replace('/', '-')}", "w") as f:
+            f.write(messages[1]["content"])
+        return [json.dumps({"answer": "import math as m\ndef f(x):\n    return m.sqrt(x)\n", "test": "assert f(4) == 2"})]
+
+
+def test_known_questions_are_asked_again_and_candidates_have_their_own_shots(spark, tmp_path):
+    (tmp_path / "said").mkdir()
+    loop = _loop(spark, tmp_path / "D1")
+    loop.client = Noting(str(tmp_path / "said"))
+    loop.spec.few_shot_pool[:] = [{"task": f"t{i}", "solution": "s", "test": "u"} for i in range(50)]
+    assert loop.round(0, 6, 6, loop.accepted()) == 6
+    assert sorted(r.question for r in loop.accepted().collect()) == [f"Other {i}" for i in range(1, 6)] + ["Same"]
+    said = [[(tmp_path / f"said/a-{t}-{c}-0").read_text() for c in range(2)] for t in range(6)]
+    assert any(a != b for a, b in said)
+
+
+def test_loop_stops_between_rounds(spark, tmp_path):
+    assert _loop(spark, tmp_path, stop=lambda: True).run(3) == 0
+
+
+@pytest.mark.parametrize("both", [False, True])
+def test_fusion_needs_both_sources(spark, tmp_path, both):
+    rows = [(q, f"import math as m\ndef f(x):\n    return m.{a}(x)\n", "assert True", [f"math.{a}"], [f"math.{a}"]) for q, a in (("A", "sqrt"), ("B", "sin"))]
+    pool = spark.createDataFrame(rows, "question string, answer string, test string, used_apis array<string>, seed_apis array<string>")
+    loop = _loop(spark, tmp_path, FusionLoop, pool=pool, depth=2, require_both_sources=both)
+    assert (loop.round(0, 4, 4, loop.accepted(), 2) == 0) == both
+
+
 def test_evaluation(spark):
     items = [{"task": "t", "prompt": "import lib as l\ndef f(x):\n    pass", "test": "assert f(1) == 2", "api_list": ["lib.a", "lib.none"]}, {"task": "t", "prompt": "x"}]
     bench = spark.createDataFrame([(i, json.dumps(x)) for i, x in enumerate(items, 1)], "idx bigint, line string")
