@@ -3,24 +3,33 @@
 A document's set is its distinct SHINGLE-word shingles; documents are linked at a Jaccard similarity of SIMILARITY
 percent. Each distinct set has a MinHash signature of COORDINATES values, and is posted under each (coordinate, value)
 pair. Two linked sets agree in MATCHES coordinates but for a chance under 1e-9, so they share a posting even where each
-set is posted only under its COORDINATES - MATCHES + 1 rarest values (prefix), and values that one set alone has are
-skipped. Pairs that meet are kept if their whole signatures agree in MATCHES coordinates, and are confirmed on the sets.
+set is posted only under its COORDINATES - MATCHES + 1 rarest values (prefix); values that one set alone has are skipped,
+and so are lists whose members already hang together. Sets that meet are compared by their whole signatures, collisions
+counted; those that collide MATCHES times or more are confirmed on the full sets.
 
-Postings are not joined with themselves. In each round a list names some members as pivots, each member not yet known to
-hang together with a pivot is paired with it, and pivots leave the list; links found join components, and a list whose
-members are all of one component is done. A large group of near copies thus costs about one pair for each copy, and no
-link between components is lost.
+Postings are not joined with themselves. Links only have to hold components together, so lists are worked off in steps:
+
+1. STARS times, each list names its most central member, the one whose values most sets have, and every member not yet
+   known to hang together with it is compared with it: a row for each posting at most. Then components are joined, lists
+   of one component are done, and the named members, which have met their whole lists, leave them.
+2. What is left are mostly copies just under the threshold, which must be held against all members of their lists. Each
+   list belongs to the component that most of its members are of, and its members meet in that component's room, each
+   once, whatever the number of lists that led there. A room's members are dealt into blocks by hash, and a block of those
+   that are not yet of the component (guests) meets every block of the room in one row of a join: two blocks are in
+   memory, no pair is a row, and members of one component are not compared with each other.
 
 Cases: null texts, and texts without words, have an empty set, link with nothing and are kept; rows that repeat a doc_id
 count as one document with the least text; rows without doc_id are left out; empty tables give no rows; further columns
-are ignored. Shingles are compared by 48 bits of their hashes.
+are ignored. Shingles are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.llm import common
@@ -28,15 +37,17 @@ from corpusmill.llm.decontamination import sized
 
 SHINGLE, SIMILARITY = 5, 75
 COORDINATES, MATCHES = 64, 26
-#: Pivots that a list names: one in the first round, this many in the second, four times as many in each later one.
-PIVOTS_LATER = 16
+#: Rounds in which each list names one member; sets and shingles of a room's block, on the mean; columns of a product.
+STARS, BLOCK, BLOCK_SHINGLES, WIDE = 2, 64, 1 << 20, 1 << 16
+#: Ids of eight bytes that may be broadcast.
+BROADCAST_IDS = 1_000_000
 _ODD = common.mixed(np.arange(1, COORDINATES + 1, dtype=np.uint64)) | np.uint64(1)
 _ADD = common.mixed(np.arange(1001, COORDINATES + 1001, dtype=np.uint64))
 _PLACES = common.mixed(np.arange(2001, SHINGLE + 2001, dtype=np.uint64)) | np.uint64(1)
 
 
 def shingles(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, row) of the distinct shingles of each row, by row, then hash; 48 bits each."""
+    """(hash, row) of the distinct shingles of each row, by row, then hash."""
     data = common.LOWER[data]
     start, end, row = common.runs(data, offs, common.BY_SPACE)
     word = common.Hashes(data).of(start, end)
@@ -54,7 +65,7 @@ def shingles(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
         np.add.at(short, row[few], word[few] * _PLACES[place[few]])
         few_rows = np.flatnonzero((count > 0) & (count < SHINGLE))
         short = short[few_rows] + count[few_rows].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    h = common.mixed(np.concatenate([total[whole], short])) >> np.uint64(16)
+    h = common.mixed(np.concatenate([total[whole], short]))
     r = np.concatenate([row[: len(total)][whole], few_rows]) if len(row) else np.zeros(0, np.int64)
     order = np.lexsort((h, r))
     h, r = h[order], r[order]
@@ -63,141 +74,163 @@ def shingles(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return h[new], r[new]
 
 
+def signatures(h: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """A row of COORDINATES tokens for each set; sets are not empty, the k-th begins at first[k]."""
+    tokens = np.zeros((len(first), COORDINATES), np.int64)
+    with np.errstate(over="ignore"):
+        for c in range(COORDINATES if len(first) else 0):
+            low = np.minimum.reduceat(common.mixed(h + _ADD[c]) if c % 8 == 0 else (h + _ADD[c]) * _ODD[c], first)
+            tokens[:, c] = common.mixed(low + _ADD[c]).view(np.int64)
+    return tokens
+
+
 def _signed(batches):
     for batch in batches:
         ids = batch.column("doc_id")
         for a, b, offs, data in common.steps(batch.column("text")):
             h, row = shingles(data, offs)
             n = np.bincount(row, minlength=b - a)
-            first = np.concatenate([[0], np.cumsum(n)])
             some = np.flatnonzero(n)
-            tokens = np.zeros((len(some), COORDINATES), np.int64)
+            first = np.concatenate([[0], np.cumsum(n)])[some]
             sums = np.zeros((2, b - a), np.uint64)
             if len(some):
-                at = first[some]
                 with np.errstate(over="ignore"):
-                    for c in range(COORDINATES):
-                        low = np.minimum.reduceat(common.mixed(h + _ADD[c]) if c % 8 == 0 else (h + _ADD[c]) * _ODD[c], at)
-                        tokens[:, c] = common.mixed(low + _ADD[c]).view(np.int64)
                     for k in range(2):
-                        sums[k, some] = np.add.reduceat(common.mixed(h * np.uint64(2 * k + 3)), at)
+                        sums[k, some] = np.add.reduceat(common.mixed(h * np.uint64(2 * k + 3)), first)
             sig_offs = np.zeros(b - a + 1, np.int32)
             np.cumsum((n > 0) * COORDINATES, out=sig_offs[1:])
-            sig = pa.ListArray.from_arrays(pa.array(sig_offs), pa.array(tokens.reshape(-1)))
+            sig = pa.ListArray.from_arrays(pa.array(sig_offs), pa.array(signatures(h, first).reshape(-1)))
             yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(n.astype(np.int64)), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), sig], names=["doc_id", "n", "f", "g", "sig"])
 
 
-def _sets(batches):
+def _bodies(batches):
     for batch in batches:
         ids = batch.column("doc_id")
         for a, b, offs, data in common.steps(batch.column("text")):
             h, row = shingles(data, offs)
             first = np.searchsorted(row, np.arange(b - a + 1))
-            raw = np.ascontiguousarray(h.view(np.uint8).reshape(-1, 8)[:, :6])
-            yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array([raw[first[i] : first[i + 1]].tobytes() for i in range(b - a)], pa.binary())], names=["doc_id", "set"])
-
-
-def _unpacked(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
-    return out.view(np.uint64).reshape(-1)
+            n = np.diff(first)
+            some = np.flatnonzero(n)
+            sig = pa.ListArray.from_arrays(pa.array((np.arange(len(some) + 1) * COORDINATES).astype(np.int32)), pa.array(signatures(h, first[some]).reshape(-1)))
+            sets = pa.ListArray.from_arrays(pa.array(np.append(first[some], len(h)).astype(np.int32)), pa.array(h.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([ids.slice(a, b - a).take(pa.array(some)), pa.array(n[some].astype(np.int64)), sig, sets], names=["doc", "n", "sig", "set"])
 
 
-def _confirmed(batches):
-    for batch in batches:
-        linked = []
-        for x, y in zip(batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist(), strict=True):
-            both = np.concatenate([_unpacked(x), _unpacked(y)])
-            both.sort()
-            shared = int((both[1:] == both[:-1]).sum())
-            linked.append(100 * shared >= SIMILARITY * (len(both) - shared))
-        names = ["a", "b", "la", "lb"]
-        yield pa.RecordBatch.from_arrays([*map(batch.column, names), pa.array(linked, pa.bool_())], names=[*names, "linked"])
-
-
-def _prefixes(reps: DataFrame) -> DataFrame:
-    """(token, doc, n): each representative under its rarest values, of those that another one has too."""
+def _postings(reps: DataFrame) -> DataFrame:
+    """(token, doc, n, central, label): each representative under its rarest values, of those that another one has too.
+    central is large for sets whose values many others have."""
     every = reps.select("doc", "n", F.explode("sig").alias("token"))
     shared = common.stash(every.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "tokens")
     held = every.join(shared, "token").groupBy("doc", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("t"))
+    central = F.aggregate("t", F.lit(0).cast("long"), lambda total, x: total + (F.log2(x["df"]) * 64).cast("long"))
     taken = F.slice("t", 1, F.greatest(F.size("t") - (MATCHES - 1), F.lit(0)))
-    return held.select(F.explode(F.transform(taken, lambda x: x["token"])).alias("token"), "doc", "n")
-
-
-def _met(held: DataFrame, pivots: int) -> tuple[DataFrame, DataFrame]:
-    """held: (token, doc, n, own, label) of lists with several labels. Returns pairs (a, b, la, lb) of documents and
-    labels, a < b, whose sets can be alike enough, and the pivots' postings. Pivots are of the labels that have the fewest
-    members in the list: once these are through, the rest hangs together; of these, those with the fewest shingles of
-    their own, which most others are likely to be linked with."""
-    order = Window.partitionBy("token").orderBy("members", "own", "doc")
-    sized_labels = common.stash(held.groupBy("token", "label").agg(F.count("*").alias("members")), "members")
-    lead = held.join(sized_labels, ["token", "label"]).withColumn("r", F.row_number().over(order)).where(F.col("r") <= pivots)
-    lead = common.stash(lead.select("token", F.col("doc").alias("p"), F.col("label").alias("lp"), F.col("n").alias("np"), F.col("own").alias("op")), "pivots")
-    shared = F.least(F.col("n") - F.col("own"), F.col("np") - F.col("op"))
-    can = 100 * shared >= SIMILARITY * (F.col("n") + F.col("np") - shared)
-    met = held.join(lead, (held.token == lead.token) & (F.col("doc") != F.col("p")) & (F.col("label") != F.col("lp")) & can).drop(lead.token)
-    first = F.col("p") < F.col("doc")
-    pick = lambda x, y, name: F.when(first, F.col(x)).otherwise(F.col(y)).alias(name)
-    pairs = met.select(pick("p", "doc", "a"), pick("doc", "p", "b"), pick("lp", "label", "la"), pick("label", "lp", "lb")).distinct()
-    return pairs, lead.select("token", F.col("p").alias("doc"))
-
-
-def _verified(pairs: DataFrame, reps: DataFrame, sets: DataFrame) -> DataFrame:
-    """(la, lb, linked, a, b) of the pairs whose sizes and signatures let them be linked."""
-    side = lambda s: reps.select(F.col("doc").alias(s), F.col("n").alias(f"n_{s}"), F.col("sig").alias(f"sig_{s}"))
-    close = 100 * F.least("n_a", "n_b") >= SIMILARITY * F.greatest("n_a", "n_b")
-    agree = F.size(F.filter(F.zip_with("sig_a", "sig_b", lambda x, y: x == y), lambda z: z)) >= MATCHES
-    left = common.stash(pairs.join(side("a"), "a").join(side("b"), "b").where(close & agree).select("a", "b", "la", "lb"), "pairs")
-    ids = left.select(F.col("a").alias("doc_id")).union(left.select("b")).distinct()
-    some = sets.join(sized(ids), "doc_id", "left_semi")
-    both = left.join(some.select(F.col("doc_id").alias("a"), F.col("set").alias("set_a")), "a").join(some.select(F.col("doc_id").alias("b"), F.col("set").alias("set_b")), "b")
-    return common.stash(both.select("a", "b", "la", "lb", "set_a", "set_b").mapInArrow(_confirmed, "a long, b long, la long, lb long, linked boolean"), "verified")
-
-
-def _spelt(batches):
+    return held.select(F.explode(F.transform(taken, lambda x: x["token"])).alias("token"), "doc", "n", central.alias("central"), F.col("doc").alias("label"))
+
+
+def _close(n: str, m: str):
+    return 100 * F.least(n, m) >= SIMILARITY * F.greatest(n, m)
+
+
+def _star(held: DataFrame, bodies: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links (u, v) of labels found through the lists' most central members, and the postings that are left."""
+    named = F.max_by(F.struct("doc", "label", "n"), F.struct("central", -F.col("doc")))
+    lists = held.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), named.alias("p")).where("lo < hi")
+    lists = lists.select("token", F.col("p.doc").alias("p"), F.col("p.label").alias("lp"), F.col("p.n").alias("np"))
+    live = common.stash(held.join(lists, "token"), "postings")
+    pairs = live.where((F.col("label") != F.col("lp")) & _close("n", "np")).select("p", "doc", "lp", "label").distinct()
+    side = lambda s: bodies.select(F.col("doc").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ("n", "sig", "set")))
+    both = pairs.join(side("doc"), "doc").join(side("p"), "p")
+    collisions = F.size(F.filter(F.zip_with("sig_doc", "sig_p", lambda x, y: x == y), lambda z: z))
+    common_ = F.size(F.array_intersect("set_doc", "set_p"))
+    linked = F.when(collisions >= MATCHES, 100 * common_ >= SIMILARITY * (F.col("n_doc") + F.col("n_p") - common_))
+    links = both.where(linked).select(F.col("lp").alias("u"), F.col("label").alias("v"))
+    return common.stash(links.distinct(), "links"), live.where("doc <> p").select(held.columns)
+
+
+def _relabelled(held: DataFrame, links: DataFrame) -> DataFrame:
+    to = components(links, "u", "v").toDF("node", "to")
+    return held.join(to, held.label == to.node, "left").select("token", "doc", "n", "central", F.coalesce("to", "label").alias("label"))
+
+
+def _block(column, i: int):
+    """(label, n, signatures, set of each shingle, shingles) of one packed block."""
+    label, sig, sets = column[i].values.flatten()
+    n = np.diff(np.asarray(sets.offsets))
+    return np.asarray(label), n, np.asarray(sig.flatten()).reshape(-1, COORDINATES), np.repeat(np.arange(len(n)), n), np.asarray(sets.flatten())
+
+
+def common_counts(rows_a, a, n_a: int, rows_b, b, n_b: int) -> np.ndarray:
+    """How many shingles each set of one block has in common with each of the other."""
+    every, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    at_a, at_b = at[: len(a)], at[len(a) :]
+    inside = np.zeros((2, len(every)), bool)
+    inside[0, at_a] = True
+    inside[1, at_b] = True
+    shared = inside.all(axis=0)
+    place = np.cumsum(shared) - 1
+    keep_a, keep_b = shared[at_a], shared[at_b]
+    rows_a, at_a, rows_b, at_b = rows_a[keep_a], place[at_a[keep_a]], rows_b[keep_b], place[at_b[keep_b]]
+    out = np.zeros((n_a, n_b), np.int64)
+    for c in range(0, int(shared.sum()), WIDE):
+        x, y = np.zeros((n_a, WIDE), np.float32), np.zeros((n_b, WIDE), np.float32)
+        for m, rows, at in ((x, rows_a, at_a), (y, rows_b, at_b)):
+            here = (at >= c) & (at < c + WIDE)
+            m[rows[here], at[here] - c] = 1
+        out += (x @ y.T).astype(np.int64)
+    return out
+
+
+def _compared(batches):
+    """Label pairs that a link joins, of the sets of two blocks."""
     for batch in batches:
-        ids, sets = np.asarray(batch.column("doc_id")), [_unpacked(x) for x in batch.column("set").to_pylist()]
-        doc, h = np.repeat(ids, [len(x) for x in sets]), np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)
-        for i in range(0, len(doc), 1 << 17):
-            yield pa.RecordBatch.from_arrays([pa.array(doc[i : i + (1 << 17)]), pa.array(h[i : i + (1 << 17)])], names=["doc", "h"])
-
-
-def _with_own(held: DataFrame, sets: DataFrame) -> DataFrame:
-    """held with `own`: how many shingles of the document no other document that is still held has. They bound what it
-    can share with any."""
-    ids = held.select(F.col("doc").alias("doc_id")).distinct()
-    every = sets.join(sized(ids), "doc_id", "left_semi").mapInArrow(_spelt, "doc long, h long")
-    own = every.groupBy("h").agg(F.count("*").alias("df"), F.min("doc").alias("doc")).where("df = 1").groupBy("doc").agg(F.count("*").alias("o"))
-    return held.drop("own").join(sized(own), "doc", "left").select("token", "doc", "n", F.coalesce("o", F.lit(0)).alias("own"), "label")
+        found = [np.zeros((0, 2), np.int64)]
+        for i in range(batch.num_rows):
+            la, na, sa, rows_a, a = _block(batch.column("guests"), i)
+            lb, nb, sb, rows_b, b = _block(batch.column("others"), i)
+            small, large = np.minimum.outer(na, nb), np.maximum.outer(na, nb)
+            may = (la[:, None] != lb[None]) & (100 * small >= SIMILARITY * large)
+            collisions = np.zeros(may.shape, np.int16)
+            for c in range(COORDINATES if may.any() else 0):
+                collisions += sa[:, None, c] == sb[None, :, c]
+            may &= collisions >= MATCHES
+            x, y = may.any(axis=1), may.any(axis=0)
+            if not x.any():
+                continue
+            keep_a, keep_b = x[rows_a], y[rows_b]
+            n = common_counts(rows_a[keep_a], a[keep_a], len(na), rows_b[keep_b], b[keep_b], len(nb))
+            p, q = np.nonzero(may & (100 * n >= SIMILARITY * (na[:, None] + nb[None] - n)))
+            found.append(np.unique(np.stack([la[p], lb[q]], axis=1), axis=0))
+        found = np.unique(np.concatenate(found), axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(found[:, 0])), pa.array(np.ascontiguousarray(found[:, 1]))], names=["u", "v"])
+
+
+def _rooms(held: DataFrame, bodies: DataFrame) -> DataFrame:
+    """Links (u, v) of labels between all sets that share a list of several labels."""
+    by_label = held.groupBy("token", "label").agg(F.count("*").alias("members"))
+    rooms = by_label.groupBy("token").agg(F.count("*").alias("labels"), F.max_by("label", F.struct("members", -F.col("label"))).alias("room")).where("labels > 1")
+    inside = common.stash(held.join(rooms, "token").select("room", "doc", "label", "n").distinct().withColumn("home", F.col("label") == F.col("room")), "members")
+    blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES))
+    sizes = inside.groupBy("room", "home").agg(blocks.alias("blocks"))
+    dealt = inside.join(sizes, ["room", "home"]).select("room", "home", F.pmod(F.xxhash64("doc"), "blocks").alias("block"), "doc", "label")
+    packed = dealt.join(bodies.drop("n"), "doc").groupBy("room", "home", "block").agg(F.collect_list(F.struct("label", "sig", "set")).alias("sets"))
+    packed = common.stash(packed, "blocks")
+    guests = packed.where(~F.col("home")).select("room", F.col("block").alias("first"), F.col("sets").alias("guests"))
+    units = guests.join(packed.withColumnRenamed("sets", "others"), "room").where(F.col("home") | (F.col("first") <= F.col("block")))
+    return common.stash(units.select("guests", "others").mapInArrow(_compared, "u long, v long").distinct(), "links")
 
 
 def links(reps: DataFrame, docs: DataFrame) -> DataFrame:
-    """(a, b) of confirmed links that hold the components together. reps: (doc, n, sig) of distinct sets; docs: (doc_id, text)."""
-    held = common.stash(_prefixes(reps).withColumn("own", F.lit(0).cast("long")).withColumn("label", F.col("doc")), "postings")
+    """(u, v) of links that hold the components together. reps: (doc, n, sig) of distinct sets; docs: (doc_id, text)."""
+    held = common.stash(_postings(reps), "postings")
     ids = held.select(F.col("doc").alias("doc_id")).distinct()
-    sets = common.stash(docs.join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sets, "doc_id long, set binary"), "sets")
-    seen, found, pivots = None, None, 1
-    while True:
-        several = held.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("token")
-        held = common.stash(held.join(common.stash(several, "lists"), "token", "left_semi"), "postings")
-        if pivots > 1:
-            held = common.stash(_with_own(held, sets), "postings")
-        if held.isEmpty():
-            break
-        pairs, gone = _met(held, pivots)
-        if seen is not None:
-            pairs = pairs.join(seen, ["a", "b"], "left_anti")
-        pairs = common.stash(pairs, "met")
-        done = _verified(pairs, reps, sets)
-        new = done.where("linked")
-        seen = pairs.select("a", "b") if seen is None else seen.unionAll(pairs.select("a", "b"))
-        found = new.select("a", "b") if found is None else found.unionAll(new.select("a", "b"))
-        rest = held.join(gone, ["token", "doc"], "left_anti")
-        if not new.isEmpty():
-            to = components(new.select("la", "lb").distinct(), "la", "lb").toDF("node", "to")
-            rest = rest.join(to, rest.label == to.node, "left").select("token", "doc", "n", "own", F.coalesce("to", "label").alias("label"))
-        held, pivots = rest, max(PIVOTS_LATER, pivots * 4)
-    return found if found is not None else reps.select(F.col("doc").alias("a"), F.col("doc").alias("b")).limit(0)
+    bodies = common.stash(docs.join(sized(ids, BROADCAST_IDS), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_bodies, "doc long, n long, sig array<long>, set array<long>"), "bodies")
+    found = []
+    for _ in range(STARS):
+        new, held = _star(held, bodies)
+        held = common.stash(_relabelled(held, new), "postings")
+        found.append(new)
+    found.append(_rooms(held, bodies))
+    return reduce(DataFrame.unionAll, found)
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -223,7 +256,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     reps = some.groupBy("n", "f", "g").agg(F.min("doc_id").alias("doc"))
     reps = common.stash(reps, "classes")
     full = common.stash(reps.join(signed.select("doc_id", "sig"), F.col("doc") == F.col("doc_id")).select("doc", "n", "sig"), "reps")
-    labels = components(links(full, docs))
+    labels = components(links(full, docs), "u", "v")
     classes = common.stash(reps.join(labels, F.col("doc") == F.col("node"), "left").select("n", "f", "g", "doc", F.coalesce("label", "doc").alias("component")), "classes")
     out = some.select("doc_id", "n", "f", "g").join(classes, ["n", "f", "g"]).select("doc_id", "n", "doc", "component")
     out = out.unionAll(signed.where("n = 0").select("doc_id", "n", "doc_id", "doc_id"))
