@@ -206,12 +206,18 @@ def ways(v, text):
     return {s: w / total for s, w in out.items()}
 
 
+def segmentations(*args):
+    for rank, rows, bounds, ids, log_prob, inclusion, same in pieces.sample_step(*args):
+        for i, row in enumerate(rows.tolist()):
+            yield rank, row, ids[bounds[i] : bounds[i + 1]].tolist(), log_prob[i], inclusion[i], same[i]
+
+
 def test_sampled_segmentations():
     v, n = pieces.vocabulary(), 4000
     want = ways(v, b" ab\nthe")
     offs, data = common.texts_of(pa.array(["ab\nthe"] * n))
     rows = {}
-    for rank, row, ids, log_prob, inclusion, same in pieces.sample_step(np.arange(n), offs, data, v, 3):
+    for rank, row, ids, log_prob, inclusion, same in segmentations(np.arange(n), offs, data, v, 3):
         assert same and log_prob == pytest.approx(np.log(want[tuple(ids)]))
         rows.setdefault(row, []).append((tuple(ids), inclusion))
     top = sorted(want, key=want.get)[-3:]
@@ -227,7 +233,7 @@ def check_exact(text, k=3, n=20):
     want = ways(v, b" " + text.encode())
     offs, data = common.texts_of(pa.array([text] * n))
     found = set()
-    for _, _, ids, log_prob, inclusion, same in pieces.sample_step(np.arange(n), offs, data, v, k):
+    for _, _, ids, log_prob, inclusion, same in segmentations(np.arange(n), offs, data, v, k):
         assert same and log_prob == pytest.approx(np.log(want[tuple(ids)]))
         found.add(tuple(ids))
     return want, found, v
@@ -255,7 +261,7 @@ def test_long_stretches_are_normalised_over_all_ways(text):
             ids.append((1, int(v.byte_id[raw[at]])))
         total[at] = np.logaddexp.reduce([np.log(v.weight[i]) + total[at + n] for n, i in ids])
     offs, data = common.texts_of(pa.array([text] * 3))
-    for _, _, ids, log_prob, _, same in pieces.sample_step(np.arange(3), offs, data, v, 2):
+    for _, _, ids, log_prob, _, same in segmentations(np.arange(3), offs, data, v, 2):
         assert same and log_prob == pytest.approx(np.log(v.weight[ids]).sum() - total[0], abs=1e-6)
 
 
@@ -267,6 +273,23 @@ def test_round_trip(spark, docs):
     assert {(r.doc_id, r["rank"], r.ids_sha256) for r in rows} == {(r.doc_id, r["rank"], r.ids_sha256) for r in again}
 
 
+def test_decoded_column(spark):
+    rows = spark.createDataFrame([(1, "caf\u00e9 the"), (2, ""), (3, None)], "doc_id bigint, text string")
+    out = pieces.sample(rows, k=1).select("doc_id", pieces.decoded("ids").alias("t")).collect()
+    assert {r.doc_id: r.t for r in out} == {1: "caf\u00e9 the", 2: "", 3: ""}
+
+
+def test_units_seen_before_give_the_same_draws(monkeypatch):
+    v = pieces.vocabulary()
+    units = pieces.Units(v)
+    texts = ["the cat sat", "a dog\u4e2d\u6587 the cat", "sat on the mat " * 9]
+    for part in (texts, texts[::-1], texts):
+        offs, data = common.texts_of(pa.array(part))
+        fresh = list(segmentations(np.arange(3), offs, data, v, 4))
+        assert list(segmentations(np.arange(3), offs, data, v, 4, 1, units)) == fresh
+        monkeypatch.setattr(pieces, "KEPT_BYTES", 8)
+
+
 def test_language_rejects_what_says_nothing():
     coders = langid.encoders({"a": b"the cat and the dog " * 9, "b": b"der hund und die katze " * 9})
     assert langid.identify("the dog and the cat", coders)[0] == "a"
