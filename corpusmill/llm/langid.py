@@ -2,11 +2,11 @@
 
 Each language has a raw-content zstandard dictionary: text of that language. A text is encoded, piece by piece, with
 every dictionary, and the language whose dictionary gives the smallest total wins. Where the margin to the second is
-narrow, the text is rejected. What is encoded is the whole text in lower case, its letters only, each word where it
-first occurs: capitals, digits, marks and repetition say nothing about a language but cost bytes.
+narrow, the text is rejected. What is encoded is the whole text in lower case, its letters only and a space between
+words: capitals, digits and marks say nothing about a language but cost bytes.
 
 Cases: null text and text without a letter give ``und`` with score 0 and are rejected; ties go to the language that
-sorts first; repeated rows are each answered; an empty table gives no rows; further columns are ignored.
+sorts first and are rejected; repeated rows are each answered; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,24 +21,24 @@ from pyspark.sql import functions as F
 
 from corpusmill.llm import common
 
-#: Rows of a language whose text is sampled for its dictionary, bytes taken of each, and bytes of a dictionary.
-SAMPLE_ROWS, ROW_BYTES, DICTIONARY_BYTES = 400, 1024, 48 * 1024
+#: Rows of a language that are sampled for its dictionary, and bytes of a dictionary.
+SAMPLE_ROWS, DICTIONARY_BYTES = 200, 64 * 1024
 #: A piece is short against the dictionary, so that the dictionary and not the piece's own text is what helps.
 PIECE_BYTES = 2048
 #: Put before each piece: with it even a few words are encoded rather than stored as they are.
 CARRIER = bytes(64)
 CODING = {"window_log": 18, "hash_log": 15, "chain_log": 15, "search_log": 3, "min_match": 4, "target_length": 32, "strategy": zstandard.STRATEGY_GREEDY,
           "write_content_size": False, "write_checksum": False, "write_dict_id": False}
-#: Rejected if the second best needs fewer more bytes than this share of what is encoded.
-MIN_MARGIN = 0.004
+#: Rejected if the best saves less than this share of what the second best needs.
+MIN_MARGIN = 0.01
 _WORD = re.compile(r"[^\W\d_]+")
 _SCHEMA = "lang_pred string, score double, rejected boolean, margin double"
 
 
 def fit(rows: DataFrame, lang: str = "lang", text: str = "text", key: str = "doc_id") -> dict[str, bytes]:
     """Dictionaries by language from rows (lang, text), a bounded sample: about SAMPLE_ROWS rows of each language, those
-    with the smallest hash of the key, ROW_BYTES of each, in hash order up to DICTIONARY_BYTES. All else is counted
-    over all rows."""
+    with the smallest hash of the key, their whole texts in hash order until a dictionary holds DICTIONARY_BYTES. All else
+    is counted over all rows."""
     rows = rows.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
         F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(key)).alias("h"))
     counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -48,7 +48,7 @@ def fit(rows: DataFrame, lang: str = "lang", text: str = "text", key: str = "doc
     for name, n in sorted(counts.items()):
         part = min(span, math.ceil(span * SAMPLE_ROWS / n))
         wanted = F.when(F.col("lang") == name, F.pmod("h", F.lit(span)) < part).otherwise(wanted)
-    sample = rows.where(wanted).select("lang", "h", F.substring("text", 1, ROW_BYTES).alias("text")).collect()
+    sample = rows.where(wanted).select("lang", "h", F.substring("text", 1, DICTIONARY_BYTES).alias("text")).collect()
     out = {}
     for name in sorted(counts):
         seen, kept, size = set(), [], 0
@@ -73,7 +73,9 @@ def encoders(dictionaries: dict[str, bytes]):
 
 
 def folded(text: str) -> bytes:
-    return " ".join(dict.fromkeys(_WORD.findall(text.lower()))).encode("utf-8", "surrogatepass")
+    """Words in lower case; numerals that are no digits, such as fractions, match the pattern but are no letters."""
+    words = _WORD.findall(text.lower())
+    return " ".join(filter(None, (w if w.isalpha() else "".join(filter(str.isalpha, w)) for w in words))).encode("utf-8", "surrogatepass")
 
 
 def identify(text: str | None, coders, min_margin: float = MIN_MARGIN) -> tuple[str, float, bool, float]:
@@ -89,7 +91,7 @@ def identify(text: str | None, coders, min_margin: float = MIN_MARGIN) -> tuple[
     sizes.sort()
     best, name = sizes[0]
     odds = sum(2.0 ** -min(1000.0, (size - best) * 8 / 4) for size, _ in sizes)
-    margin = (sizes[1][0] - best) / len(raw) if len(sizes) > 1 else 1.0
+    margin = (sizes[1][0] - best) / sizes[1][0] if len(sizes) > 1 else 1.0
     return name, 1.0 / odds, margin < min_margin, margin
 
 

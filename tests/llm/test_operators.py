@@ -109,6 +109,20 @@ def test_trees_read_the_features_they_were_fitted_to(spark):
     assert all(r.n == r.doc_id % 2 for r in out)
 
 
+def test_trees_give_the_same_sums_as_columns(spark):
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 9, (500, len(pii.FEATURES))).astype(float)
+    model = pii.Boosted(x, ((x[:, 0] > 4) ^ (x[:, 5] > x[:, 9])).astype(float))
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x[:200])], ["i", *pii.FEATURES])
+    out = {r.i: r.m for r in df.select("i", model.column({k: F.col(k) for k in pii.FEATURES}).alias("m")).collect()}
+    assert [out[i] for i in range(200)] == pytest.approx(model.margins(x[:200]).tolist())
+    assert not {"cue", "checksum", "octets", "domain"} & set(pii.FEATURES)
+
+
+def test_few_candidates_prove_no_precision():
+    assert pii.lower_bound(np.array([3.0]), np.array([3.0]))[0] < 0.5 and pii.lower_bound(np.array([4000.0]), np.array([4000.0]))[0] > 0.99
+
+
 @pytest.mark.parametrize("dense", [0, 300])
 def test_loose_spans_do_not_hang_on_the_sample(spark, dense):
     loose = ["tel 555 123 4567 now", "jane.doe [at] example dot org"]
@@ -293,4 +307,24 @@ def test_units_seen_before_give_the_same_draws(monkeypatch):
 def test_language_rejects_what_says_nothing():
     coders = langid.encoders({"a": b"the cat and the dog " * 9, "b": b"der hund und die katze " * 9})
     assert langid.identify("the dog and the cat", coders)[0] == "a"
-    assert langid.identify("123 !?", coders) == ("und", 0.0, True, 0.0) == langid.identify(None, coders)
+    for text in ("123 !?", "\u00bd", "\u00b2 \u2167?", "", None):
+        assert langid.identify(text, coders) == ("und", 0.0, True, 0.0)
+    assert langid.folded("Caf\u00e9 x\u00b2, caf\u00e9 9") == "caf\u00e9 x caf\u00e9".encode()
+    assert langid.identify("zzz qqq", langid.encoders({"b": b"abcdefgh", "a": b"abcdefgh"}))[0::2] == ("a", True)
+
+
+def test_language_plain(spark, docs):
+    import zstandard
+
+    rows = spark.read.parquet(f"{SF}/documents.parquet").where(~common.held_out())
+    dictionaries = langid.fit(rows)
+    assert set(dictionaries) == {r.lang for r in rows.where("lang IS NOT NULL").select("lang").distinct().collect()}
+    coding = zstandard.ZstdCompressionParameters(**langid.CODING)
+    found = {r.doc_id: r.lang_pred for r in got(spark, "op1_language_id")}
+    for i, text in docs:
+        words = ["".join(c for c in w if c.isalpha()) for w in langid._WORD.findall((text or "").lower())]
+        raw, best = " ".join(w for w in words if w).encode(), (1 << 60, "und")
+        for name in sorted(dictionaries) if raw else ():
+            coder = zstandard.ZstdCompressor(compression_params=coding, dict_data=zstandard.ZstdCompressionDict(dictionaries[name], dict_type=zstandard.DICT_TYPE_RAWCONTENT))
+            best = min(best, (sum(len(coder.compress(langid.CARRIER + raw[k : k + langid.PIECE_BYTES])) for k in range(0, len(raw), langid.PIECE_BYTES)), name))
+        assert found[i] == best[1]
