@@ -1,37 +1,35 @@
 """Benchmark decontamination by a positional inverted index: native expressions on the whole path.
 
-Words are numbered in each document. The index holds postings (row, position) with the words around them, not of every
-word but of the benchmark's anchors: each benchmark window is looked up by its rarest term, intersected with the rarer
-of its neighbours at the adjacent offset; rarity is counted over all documents. A window occurs where a posting of its
-anchor, moved back by the anchor's offset, is followed by all its words. `near` finds an item's `terms` rarest terms
-within a span of words; no query calls it.
+Each text is split into words once; words and a number of the row are written, and all else reads them. The index holds
+postings (row, position) with the words around them, not of every word but of the benchmark's anchors: each benchmark
+window is looked up by its rarest term and the rarer of that term's neighbours, whose posting list at the adjacent offset
+is intersected with it; rarity is counted over all documents. A window occurs where a posting of its anchor, moved back by
+the anchor's offset, is followed by all its words. `near` looks up an item's `terms` rarest terms within a span of words
+in the same kind of index; no query calls it.
 
 Cases: null texts have no words; items without words have no window; null item ids are left out; items that repeat an
 id have the windows of all their rows; rows that repeat a document are each answered, also with a null doc_id; empty
-tables give no rows (documents) or no hits (benchmark); further columns are ignored.
+tables give no rows (documents) or no hits (benchmark); further columns are kept, those named as a result give way.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusmill.llm import common
 
 WINDOW = 10
-#: Words with A-Z still in; letters are lowered word by word, since lower() would lower other alphabets too.
-_WORDS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: What stands between words. Only A-Z are lowered: lower() would lower other alphabets too.
+_BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Anchors that one pass over the documents looks for, and benchmark rows that may be broadcast; more anchors are taken
-#: in blocks, more rows are joined by a shuffle.
-BLOCK_ANCHORS, BROADCAST_ROWS = 50_000, 100_000
+#: Rows that may be broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 100_000
+_RESULT = ("n_words", "n_hit", "items", "contaminated", "n_items")
 
 
 def words(text: Column) -> Column:
-    low = lambda w: F.when(w == F.lower(w), w).otherwise(F.translate(w, _UPPER, _LOWER))
-    return F.transform(F.coalesce(F.regexp_extract_all(text, F.lit(_WORDS), F.lit(0)), F.array().cast("array<string>")), low)
+    return F.coalesce(F.array_remove(F.split(F.translate(text, _UPPER, _LOWER), _BETWEEN), ""), F.array().cast("array<string>"))
 
 
 def sized(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
@@ -48,9 +46,16 @@ def windows(items: DataFrame, size: int = WINDOW) -> DataFrame:
     return w.select(F.sha2(F.array_join("words", " "), 256).alias("win"), "words", "items")
 
 
-def term_counts(docs: DataFrame, terms: DataFrame, text: str = "text") -> DataFrame:
+def tokens(docs: DataFrame, text: str = "text") -> DataFrame:
+    """docs without the text, with `__row` (a number of the row), `__words` and n_words, written."""
+    kept = [f"`{c}`" for c in docs.columns if c != text and c not in _RESULT]
+    split = docs.select(*kept, F.monotonically_increasing_id().alias("__row"), words(F.col(f"`{text}`")).alias("__words"))
+    return common.stash(split.withColumn("n_words", F.size("__words").cast("long")), "words")
+
+
+def term_counts(tokenised: DataFrame, terms: DataFrame) -> DataFrame:
     """(term, n): occurrences in all documents of the terms given; summed up before they move."""
-    every = docs.select(F.explode(words(F.col(text))).alias("term"))
+    every = tokenised.select(F.explode("__words").alias("term"))
     return every.join(sized(terms), "term").groupBy("term").agg(F.count("*").alias("n"))
 
 
@@ -67,72 +72,55 @@ def anchored(wins: DataFrame, counts: DataFrame) -> DataFrame:
     return wins.join(best.select("win", F.col("x.term").alias("first"), "x.key", "x.shift"), "win")
 
 
-def postings(docs: DataFrame, firsts: list[str], keys: list[str], reach: int, text: str = "text") -> DataFrame:
-    """docs' other columns, n_words, and hits: for each anchor its position (from 0), the term alone and the pair as key,
-    the words from `reach` before to `reach` after it, and how many of these stand before it."""
-    d = docs.select(*(c for c in docs.columns if c != text), words(F.col(text)).alias("words"))
-    if not keys:
-        none = F.array().cast("array<struct<at:int,key:string,near:array<string>,before:int>>")
-        return d.select(*(c for c in d.columns if c != "words"), F.size("words").cast("long").alias("n_words"), none.alias("hits"))
-    # written as SQL, which takes thousands of literals at once; words hold neither quotes nor backslashes
-    listed = lambda xs: "(" + ", ".join(f"'{x}'" for x in xs) + ")"
-    pair = "concat(element_at(words, i), ' ', element_at(words, i + 1))"
-    hit = f"CASE WHEN element_at(words, i) IN {listed(firsts)} THEN element_at(words, i) IN {listed(keys)} OR (i < size(words) AND {pair} IN {listed(keys)}) ELSE false END"
-    every = "CASE WHEN size(words) > 0 THEN sequence(1, size(words)) ELSE cast(array() AS array<int>) END"
-    near = f"slice(words, greatest(i - {reach}, 1), least(i - 1, {reach}) + 1 + {reach})"
-    one = "named_struct('at', i - 1, 'key', {}, 'near', " + near + f", 'before', least(i - 1, {reach}))"
-    both = f"array({one.format('element_at(words, i)')}, {one.format(f'CASE WHEN i < size(words) THEN {pair} END')})"
-    return d.select(
-        *(c for c in d.columns if c != "words"), F.size("words").cast("long").alias("n_words"),
-        F.expr(f"flatten(transform(filter({every}, i -> {hit}), i -> {both}))").alias("hits"))
-
-
-def phrase_matches(docs: DataFrame, items: DataFrame, text: str = "text", size: int = WINDOW) -> tuple[DataFrame, DataFrame]:
-    """(rows, matches). rows: docs without the text, with `row` (a number of the row) and n_words. matches: (row, start,
-    size, items) of every occurrence of a window, start counting words from 0."""
+def postings(tokenised: DataFrame, terms: DataFrame, reach: int) -> DataFrame:
+    """The index: for each place of a term (row, at, term, pair, near, before): the position from 0, the term with the
+    word after it, the words from `reach` before to `reach` after it, and how many of these stand before it."""
+    each = tokenised.select("__words", F.col("__row").alias("row"), F.posexplode("__words").alias("at", "term"))
+    hits = each.join(sized(terms.select(F.col("term").alias("__term"))), F.col("term") == F.col("__term"))
+    before = F.least("at", F.lit(reach))
+    near = F.slice("__words", F.col("at") - before + 1, before + 1 + reach)
+    pair = F.when(F.col("at") + 1 < F.size("__words"), F.concat_ws(" ", "term", F.get("__words", F.col("at") + 1)))
+    return common.stash(hits.select("row", "at", "term", pair.alias("pair"), near.alias("near"), before.alias("before")), "postings")
+
+
+def phrase_matches(tokenised: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
+    """(row, start, size, items) of every occurrence of a window, start counting words from 0."""
     wins = common.stash(windows(items, size), "windows")
-    counts = common.stash(term_counts(docs, wins.select(F.explode("words").alias("term")).distinct(), text), "terms")
+    counts = common.stash(term_counts(tokenised, wins.select(F.explode("words").alias("term")).distinct()), "terms")
     table = common.stash(anchored(wins, counts), "anchors")
-    some = table.select("first", "key").distinct().orderBy("key").toLocalIterator()
-    blocks: list[list] = [[]]
-    for r in some:
-        if len(blocks[-1]) >= BLOCK_ANCHORS:
-            blocks.append([])
-        blocks[-1].append(r)
-    parts, rows = [], None
-    for block in blocks:
-        found = postings(docs, sorted({r["first"] for r in block}), [r["key"] for r in block], size - 1, text)
-        found = common.stash(found.withColumn("row", F.monotonically_increasing_id()), "postings")
-        rows = found.drop("hits") if rows is None else rows
-        parts.append(found.where(F.size("hits") > 0).select("row", F.explode("hits").alias("p")))
-    hits = reduce(DataFrame.unionAll, parts)
-    match = hits.join(sized(table), F.col("p.key") == F.col("key"))
-    start = F.col("p.at") - F.col("shift")
-    skip = F.col("p.before") - F.col("shift")
-    fits = (skip >= 0) & (F.slice("p.near", F.greatest(skip, F.lit(0)) + 1, F.size("words")) == F.col("words"))
-    return rows, match.where(fits).select("row", start.alias("start"), F.size("words").alias("size"), "items")
-
-
-def near(docs: DataFrame, items: DataFrame, span: int, terms: int = 3, text: str = "text") -> DataFrame:
+    index = postings(tokenised, table.select(F.col("first").alias("term")).distinct(), size - 1)
+    keyed = index.select("*", F.explode(F.array("term", "pair")).alias("__key"))
+    match = keyed.join(sized(table), F.col("__key") == F.col("key"))
+    start, skip = F.col("at") - F.col("shift"), F.col("before") - F.col("shift")
+    fits = (skip >= 0) & (F.slice("near", F.greatest(skip, F.lit(0)) + 1, F.size("words")) == F.col("words"))
+    return match.where(fits).select("row", start.alias("start"), F.size("words").alias("size"), "items")
+
+
+def near(tokenised: DataFrame, items: DataFrame, span: int, terms: int = 3) -> DataFrame:
     """Proximity: (item_id, row, at) where a document has the item's rarest term at word `at` and its next rarest terms,
-    `terms` in all, within `span` words of it. Rows are numbered as in phrase_matches."""
-    each = items.where(F.col("item_id").isNotNull()).select("item_id", F.explode(F.array_distinct(words(F.col(text)))).alias("term"))
-    counts = term_counts(docs, each.select("term").distinct(), text)
+    `terms` in all, within `span` words of it."""
+    each = items.where(F.col("item_id").isNotNull()).select("item_id", F.explode(F.array_distinct(words(F.col("text")))).alias("term"))
+    counts = term_counts(tokenised, each.select("term").distinct())
     rare = each.join(counts, "term").groupBy("item_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("n", "term"))), 1, terms).alias("t"))
     rare = common.stash(rare.select("item_id", F.transform("t", lambda x: x["term"]).alias("t")).select("*", F.element_at("t", 1).alias("key")), "rare")
-    keys = [r["key"] for r in rare.select("key").distinct().toLocalIterator()]
-    found = postings(docs, keys, keys, span, text).withColumn("row", F.monotonically_increasing_id())
-    found = common.stash(found, "postings").select("row", F.explode("hits").alias("p"))
-    match = found.join(sized(rare), F.col("p.key") == F.col("key"))
-    return match.where(F.size(F.array_except("t", "p.near")) == 0).select("item_id", "row", F.col("p.at").alias("at"))
+    found = postings(tokenised, rare.select(F.col("key").alias("term")).distinct(), span)
+    match = found.join(sized(rare), F.col("term") == F.col("key"))
+    return match.where(F.size(F.array_except("t", "near")) == 0).select("item_id", "row", "at")
 
 
 def report(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
     """Per row of docs: its columns but the text, n_words, n_hit, n_items, items (sorted) and contaminated."""
-    rows, matches = phrase_matches(docs, items, text)
-    covered = F.array_distinct(F.flatten(F.transform(F.collect_set(F.struct("start", "size")), lambda x: F.sequence(x["start"], x["start"] + x["size"] - 1))))
-    hit = matches.groupBy("row").agg(F.size(covered).cast("long").alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
-    out = rows.join(hit, "row", "left").drop("row")
+    tokenised = tokens(docs, text)
+    matches = phrase_matches(tokenised, items)
+
+    def cover(acc, x):
+        end = x["start"] + x["size"]
+        return F.struct(F.greatest(acc["end"], end).alias("end"), (acc["n"] + F.greatest(end - F.greatest(acc["end"], x["start"]), F.lit(0))).alias("n"))
+
+    covered = F.aggregate(F.array_sort(F.collect_set(F.struct("start", "size"))), F.struct(F.lit(0).alias("end"), F.lit(0).alias("n")), cover, lambda acc: acc["n"])
+    hit = matches.groupBy("row").agg(covered.cast("long").alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+    rows = tokenised.drop("__words")
+    out = rows.join(hit.withColumnRenamed("row", "__row"), "__row", "left").drop("__row")
     return out.withColumns({
         "n_hit": F.coalesce("n_hit", F.lit(0)), "items": F.coalesce("items", F.array().cast("array<string>")),
         "contaminated": F.coalesce("n_hit", F.lit(0)) > 0}).withColumn("n_items", F.size("items").cast("long"))

@@ -60,8 +60,7 @@ def test_decontamination(spark, docs):
     assert sorted(tuple(r) for r in got(spark, "op5_decontamination")) == sorted(want)
 
 
-def test_anchor_blocks_and_shuffled_joins(spark, docs, monkeypatch):
-    monkeypatch.setattr(decontamination, "BLOCK_ANCHORS", 7)
+def test_joins_that_are_not_broadcast(spark, docs, monkeypatch):
     monkeypatch.setattr(decontamination, "BROADCAST_ROWS", 3)
     items = table("benchmark")[:3]
     d = spark.createDataFrame(docs, "doc_id bigint, text string")
@@ -73,7 +72,7 @@ def test_anchor_blocks_and_shuffled_joins(spark, docs, monkeypatch):
 def test_near_terms(spark):
     d = spark.createDataFrame([(1, "x rare one y two z"), (2, "rare y y y y y y y one two")], "doc_id bigint, text string")
     items = spark.createDataFrame([(9, "Rare two one")], "item_id bigint, text string")
-    assert decontamination.near(d, items, 4).select("item_id").count() == 1
+    assert decontamination.near(decontamination.tokens(d), items, 4).select("item_id").count() == 1
 
 
 def test_pii(spark, docs):
