@@ -60,27 +60,30 @@ def term_counts(tokenised: DataFrame, terms: DataFrame) -> DataFrame:
 
 
 def anchored(wins: DataFrame, counts: DataFrame) -> DataFrame:
-    """wins with the anchor: `first` and `key` (its rarest term with the rarer neighbour, in text order, or the only
-    term) and `shift` (its offset). Windows with a term that no document has are gone."""
+    """wins with the anchor: `first` and `second` (its rarest term and the rarer neighbour, in text order; a window of one
+    term has no second) and `shift` (its offset). Windows with a term that no document has are gone."""
     each = wins.select("win", F.size("words").alias("size"), F.posexplode("words").alias("at", "term"))
     each = each.join(counts, "term", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     order = Window.partitionBy("win").orderBy("at")
     pair = each.select("win", "at", "term", "n", "size", F.lead("term").over(order).alias("after"), F.lead("n").over(order).alias("m"), F.min("n").over(Window.partitionBy("win")).alias("least"))
     pair = pair.where((F.col("least") > 0) & ((F.col("size") == 1) | F.col("after").isNotNull()))
     cost = F.struct(F.least("n", F.coalesce("m", "n")).alias("a"), F.greatest("n", F.coalesce("m", "n")).alias("b"), F.col("at").alias("c"))
-    best = pair.groupBy("win").agg(F.min_by(F.struct("term", F.concat_ws(" ", "term", "after").alias("key"), F.col("at").alias("shift")), cost).alias("x"))
-    return wins.join(best.select("win", F.col("x.term").alias("first"), "x.key", "x.shift"), "win")
+    best = pair.groupBy("win").agg(F.min_by(F.struct("term", "after", F.col("at").alias("shift")), cost).alias("x"))
+    return wins.join(best.select("win", F.col("x.term").alias("first"), F.col("x.after").alias("second"), "x.shift"), "win")
 
 
-def postings(tokenised: DataFrame, terms: DataFrame, reach: int) -> DataFrame:
-    """The index: for each place of a term (row, at, term, pair, near, before): the position from 0, the term with the
-    word after it, the words from `reach` before to `reach` after it, and how many of these stand before it."""
-    each = tokenised.select("__words", F.col("__row").alias("row"), F.posexplode("__words").alias("at", "term"))
-    hits = each.join(sized(terms.select(F.col("term").alias("__term"))), F.col("term") == F.col("__term"))
+def postings(tokenised: DataFrame, keys: DataFrame, reach: int) -> DataFrame:
+    """The index: for each place of a key (row, at, first, second, near, before): the position from 0, the key, which is
+    two terms side by side, or one where `second` is null, the words from `reach` before to `reach` after it, and how many
+    of these stand before it."""
+    each = tokenised.select("__words", F.col("__row").alias("row"), F.posexplode("__words").alias("at", "first"))
     before = F.least("at", F.lit(reach))
     near = F.slice("__words", F.col("at") - before + 1, before + 1 + reach)
-    pair = F.when(F.col("at") + 1 < F.size("__words"), F.concat_ws(" ", "term", F.get("__words", F.col("at") + 1)))
-    return common.stash(hits.select("row", "at", "term", pair.alias("pair"), near.alias("near"), before.alias("before")), "postings")
+    keys = keys.select("first", "second").distinct()
+    two = each.withColumn("second", F.get("__words", F.col("at") + 1)).join(sized(keys.where("second IS NOT NULL")), ["first", "second"], "left_semi")
+    one, alone = each.withColumn("second", F.lit(None).cast("string")), keys.where("second IS NULL").select("first")
+    found = two if alone.isEmpty() else two.unionByName(one.join(sized(alone), "first", "left_semi"))
+    return common.stash(found.select("row", "at", "first", "second", near.alias("near"), before.alias("before")), "postings")
 
 
 def phrase_matches(tokenised: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
@@ -88,9 +91,8 @@ def phrase_matches(tokenised: DataFrame, items: DataFrame, size: int = WINDOW) -
     wins = common.stash(windows(items, size), "windows")
     counts = common.stash(term_counts(tokenised, wins.select(F.explode("words").alias("term")).distinct()), "terms")
     table = common.stash(anchored(wins, counts), "anchors")
-    index = postings(tokenised, table.select(F.col("first").alias("term")).distinct(), size - 1)
-    keyed = index.select("*", F.explode(F.array("term", "pair")).alias("__key"))
-    match = keyed.join(sized(table), F.col("__key") == F.col("key"))
+    index = postings(tokenised, table, size - 1).alias("i")
+    match = index.join(sized(table).alias("t"), (F.col("i.first") == F.col("t.first")) & F.col("i.second").eqNullSafe(F.col("t.second")))
     start, skip = F.col("at") - F.col("shift"), F.col("before") - F.col("shift")
     fits = (skip >= 0) & (F.slice("near", F.greatest(skip, F.lit(0)) + 1, F.size("words")) == F.col("words"))
     return match.where(fits).select("row", start.alias("start"), F.size("words").alias("size"), "items")
@@ -103,8 +105,8 @@ def near(tokenised: DataFrame, items: DataFrame, span: int, terms: int = 3) -> D
     counts = term_counts(tokenised, each.select("term").distinct())
     rare = each.join(counts, "term").groupBy("item_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("n", "term"))), 1, terms).alias("t"))
     rare = common.stash(rare.select("item_id", F.transform("t", lambda x: x["term"]).alias("t")).select("*", F.element_at("t", 1).alias("key")), "rare")
-    found = postings(tokenised, rare.select(F.col("key").alias("term")).distinct(), span)
-    match = found.join(sized(rare), F.col("term") == F.col("key"))
+    found = postings(tokenised, rare.select(F.col("key").alias("first"), F.lit(None).cast("string").alias("second")), span)
+    match = found.join(sized(rare), F.col("first") == F.col("key"))
     return match.where(F.size(F.array_except("t", "near")) == 0).select("item_id", "row", "at")
 
 
