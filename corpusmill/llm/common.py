@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 #: Bytes of text that one vectorised step works on; a longer text is one step of its own.
 STEP_BYTES = 1 << 20
 HELD_OUT_REMAINDER = 2
+BATCH_BYTES = 4 << 20
+_LOCAL: list[str] = []
+_BATCH, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,12 +30,16 @@ def held_out(doc_id="doc_id"):
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one where none is configured (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local session, whose driver and executors
+    are one process, gets a temporary one where it is unset."""
     at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="checkpoints")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at
+    if at:
+        return at
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if not _LOCAL:
+        _LOCAL.append("file://" + tempfile.mkdtemp(prefix="checkpoints"))
+    return _LOCAL[0]
 
 
 def stash(df: DataFrame, name: str) -> DataFrame:
@@ -52,6 +59,15 @@ def _drop(spark: SparkSession, at: str) -> None:
         pass
 
 
+def in_arrow(df: DataFrame, work, schema: str) -> DataFrame:
+    """mapInArrow in batches of at most BATCH_BYTES, where the session has not set a bound of its own: a batch is held
+    several times, in the JVM and in Python, and Spark's bound would let it grow to 64 MB."""
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH, _BATCH_DEFAULT) == _BATCH_DEFAULT:
+        conf.set(_BATCH, str(BATCH_BYTES))
+    return df.mapInArrow(work, schema)
+
+
 def one_per_id(df: DataFrame, key: str, value: str) -> DataFrame:
     """(key, value) with each key once and no null key. Rows that repeat a key count as one, with the least non-null
     value. The regrouping is planned only if the table does repeat a key, which a count by key finds."""

@@ -110,7 +110,7 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text",
             kinds = (pa.string(), pa.float64(), pa.bool_(), pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=[*batch.schema.names, *names])
 
-    return docs.mapInArrow(work, schema)
+    return common.in_arrow(docs, work, schema)
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -216,14 +216,15 @@ def _rooms(held: DataFrame, bodies: DataFrame) -> DataFrame:
     packed = common.stash(packed, "blocks")
     guests = packed.where(~F.col("home")).select("room", F.col("block").alias("first"), F.col("sets").alias("guests"))
     units = guests.join(packed.withColumnRenamed("sets", "others"), "room").where(F.col("home") | (F.col("first") <= F.col("block")))
-    return common.stash(units.select("guests", "others").mapInArrow(_compared, "u long, v long").distinct(), "links")
+    return common.stash(common.in_arrow(units.select("guests", "others"), _compared, "u long, v long").distinct(), "links")
 
 
 def links(reps: DataFrame, docs: DataFrame) -> DataFrame:
     """(u, v) of links that hold the components together. reps: (doc, n, sig) of distinct sets; docs: (doc_id, text)."""
     held = common.stash(_postings(reps), "postings")
     ids = held.select(F.col("doc").alias("doc_id")).distinct()
-    bodies = common.stash(docs.join(sized(ids, BROADCAST_IDS), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_bodies, "doc long, n long, sig array<long>, set array<long>"), "bodies")
+    some = docs.join(sized(ids, BROADCAST_IDS), "doc_id", "left_semi").select("doc_id", "text")
+    bodies = common.stash(common.in_arrow(some, _bodies, "doc long, n long, sig array<long>, set array<long>"), "bodies")
     found = []
     for _ in range(STARS):
         new, held = _star(held, bodies)
@@ -251,7 +252,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, class_id, component_id): class_id is the smallest document with the same set."""
     docs = common.one_per_id(docs, key, text).select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    signed = common.stash(docs.mapInArrow(_signed, "doc_id long, n long, f long, g long, sig array<long>"), "signed")
+    signed = common.stash(common.in_arrow(docs, _signed, "doc_id long, n long, f long, g long, sig array<long>"), "signed")
     some = signed.where("n > 0")
     reps = some.groupBy("n", "f", "g").agg(F.min("doc_id").alias("doc"))
     reps = common.stash(reps, "classes")

@@ -79,7 +79,7 @@ def score(docs: DataFrame, weights: np.ndarray, name: str = "score") -> DataFram
             out = [sigmoids(margins(data, offs, w)) for _, _, offs, data in common.steps(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.concatenate(out) if out else np.zeros(0))], names=["doc_id", name])
 
-    return docs.select("doc_id", "text").mapInArrow(work, f"doc_id long, {name} double")
+    return common.in_arrow(docs.select("doc_id", "text"), work, f"doc_id long, {name} double")
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

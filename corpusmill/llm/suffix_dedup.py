@@ -301,11 +301,11 @@ def _decide(batches):
 
 def removed_ranges(docs: DataFrame) -> DataFrame:
     """(doc_id, ranges) with ranges an array of (at, n): bytes to remove, which may overlap. docs: unique (doc_id, text)."""
-    cut = docs.mapInArrow(_cut, _ROW).repartition("part").mapInArrow(_meet, _ROW)
+    cut = common.in_arrow(docs, _cut, _ROW).repartition("part").mapInArrow(_meet, _ROW)
     met = common.stash(cut.select("kind", "doc_id", "at", "n"), "segments")
     on = met.where(F.col("kind") == KEPT_ON).groupBy("doc_id").agg(F.collect_list(F.struct("at", "n")).alias("segments"))
     text = docs.join(on, "doc_id").select("doc_id", "text", "segments")
-    late = text.mapInArrow(_windows, _ROW).repartition("part").mapInArrow(_decide, _ROW)
+    late = common.in_arrow(text, _windows, _ROW).repartition("part").mapInArrow(_decide, _ROW)
     gone = met.where(F.col("kind") == GONE).select("doc_id", "at", "n").unionAll(late.select("doc_id", "at", "n"))
     return gone.groupBy("doc_id").agg(F.collect_list(F.struct("at", "n")).alias("ranges"))
 
@@ -341,7 +341,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
                 batch.column("doc_id"), pa.array([g[0] for g in got], pa.binary()), pa.array(np.diff(offs)), pa.array([g[1] for g in got], pa.int64()), pa.array([g[2] for g in got], pa.int64())],
                 names=["doc_id", "kept", "n_bytes", "n_removed", "n_spans"])
 
-    return both.mapInArrow(work, "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long")
+    return common.in_arrow(both, work, "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long")
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

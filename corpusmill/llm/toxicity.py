@@ -111,7 +111,7 @@ def score(docs: DataFrame, chain) -> DataFrame:
             out = np.concatenate(out) if out else np.zeros((0, len(CHAIN)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(np.ascontiguousarray(out[:, k])) for k in range(len(CHAIN)))], names=["doc_id", *names])
 
-    return docs.select("doc_id", "text").mapInArrow(work, ", ".join(["doc_id long", *(f"{n} double" for n in names)]))
+    return common.in_arrow(docs.select("doc_id", "text"), work, ", ".join(["doc_id long", *(f"{n} double" for n in names)]))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
