@@ -14,8 +14,9 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: What counts as a fenced block, and as the fence around a whole answer.
 _BLOCK = re.compile(r"```(?:\s*(?:python|py))?\s*([\s\S]*?)```", re.I)
-_FIRST = re.compile(r"^```(?:json|python)?\s*([\s\S]*?)\s*^```\s*$", re.M)
+_FIRST = re.compile(r"^\s*```(?:json|python)?\s*([\s\S]*?)\s*```\s*$", re.M)
 
 
 def _parsed(code: str):
@@ -34,27 +35,25 @@ def _dotted(node) -> list[str] | None:
 
 
 def used_names(code: str, prefixes: list[str], module: str) -> list[str]:
-    """Library names that code uses, under the module's name, each with its base, by place of first use."""
+    """Library names that code uses, under the module's name, each with its base, by place of first use. Calls and
+    launches (a call of a subscript) come first and name themselves before their base; other attributes after it."""
     tree = _parsed(code)
     if tree is None:
         return []
-    nodes, place = list(ast.walk(tree)), {}
+    place = {}
 
-    def note(node, target):
+    def note(node, target, base_first):
         names = _dotted(target)
         if names and names[0] in prefixes:
-            for depth in (len(names), 2):
+            for depth in sorted((2, len(names)), reverse=not base_first):
                 place.setdefault(".".join([module, *names[1:depth]]), (node.lineno, node.col_offset))
 
-    calls = [n for n in nodes if isinstance(n, ast.Call)]
-    for n in calls:
-        note(n, n.func)
-    for n in calls:
-        if isinstance(n.func, ast.Subscript):
-            note(n, n.func.value)
-    for n in nodes:
+    for n in ast.walk(tree):
+        if isinstance(n, ast.Call):
+            note(n, n.func.value if isinstance(n.func, ast.Subscript) else n.func, False)
+    for n in ast.walk(tree):
         if isinstance(n, ast.Attribute):
-            note(n, n)
+            note(n, n, True)
     return [name for name, _ in sorted(place.items(), key=lambda x: x[1])]
 
 
@@ -88,11 +87,15 @@ def checked(answer: str, test: str, question: str, required_import: str, min_ass
     return True, name, ""
 
 
+def _unfenced(text: str) -> str:
+    text = text.strip()
+    m = _FIRST.search(text)
+    return (m.group(1) if m else text).strip()
+
+
 def json_object(text: str) -> dict | None:
     """The object that a text is, or the first balanced one in it."""
-    text = text or ""
-    m = _FIRST.search(text)
-    text = (m.group(1) if m else text).strip()
+    text = _unfenced(text or "")
     try:
         got = json.loads(text)
         return got if isinstance(got, dict) else None
@@ -119,38 +122,38 @@ def json_object(text: str) -> dict | None:
     return None
 
 
-def _unfenced(text: str) -> str:
-    m = _FIRST.search(text)
-    return (m.group(1) if m else text).strip()
-
-
 def pair_of(got: dict) -> tuple[str, str] | None:
-    """Answer and test of a parsed reply: arrays of lines, or texts that may be fenced."""
-    if isinstance(got.get("answer_lines"), list) and isinstance(got.get("test_lines"), list):
-        return tuple("\n".join(map(str, got[k])).rstrip() for k in ("answer_lines", "test_lines"))
-    if isinstance(got.get("answer"), str) and isinstance(got.get("test"), str):
-        return _unfenced(got["answer"]), _unfenced(got["test"])
+    """Answer and test of a parsed reply, each ended by one line feed: arrays of lines, or values that may be fenced."""
+    if "answer_lines" in got and "test_lines" in got:
+        both = got["answer_lines"], got["test_lines"]
+        if not all(isinstance(x, list) and all(isinstance(line, str) for line in x) for x in both):
+            return None
+        return tuple("\n".join(x).rstrip() + "\n" for x in both)
+    if "answer" in got and "test" in got:
+        return _unfenced(str(got["answer"])) + "\n", _unfenced(str(got["test"])) + "\n"
     return None
 
 
-def answer_and_test(text: str, question: str, required_import: str, min_asserts: int = 1, max_functions: int = 1) -> tuple[str, str, str]:
-    """(answer, test, error) of a reply: JSON, else two blocks that check out (those with the import first), else the
-    first two blocks, else what stands before and after a line that names the test."""
+def answer_and_test(text: str, required_import: str, min_asserts: int = 1, max_functions: int = 1) -> tuple[str, str, str]:
+    """(answer, test, error) of a reply: JSON, else two blocks that check out, where answers are those with the import if
+    any has it, else the first two blocks, else, if it speaks of both, what stands around the first line that opens with
+    "test"."""
+    text = text or ""
     got = json_object(text)
     pair = pair_of(got) if got else None
-    if pair and all(pair):
+    if pair:
         return *pair, ""
-    blocks = [b.strip() for b in _BLOCK.findall(text or "") if b.strip()]
-    ranked = sorted(range(len(blocks)), key=lambda i: required_import not in blocks[i])
-    for i in ranked:
-        for j in range(len(blocks)):
-            if i != j and checked(blocks[i], blocks[j], question, required_import, min_asserts, max_functions)[0]:
-                return blocks[i], blocks[j], ""
-    if len(blocks) >= 2:
+    blocks = [b.strip() + "\n" for b in _BLOCK.findall(text)]
+    for answer in [b for b in blocks if required_import in b] or blocks if len(blocks) > 1 else ():
+        for test in blocks:
+            if test is not answer and checked(answer, test, "", required_import, min_asserts, max_functions)[0]:
+                return answer, test, ""
+    if len(blocks) > 1:
         return blocks[0], blocks[1], ""
-    halves = re.split(r"(?im)^\W*tests?\b.*$", text or "", maxsplit=1)
-    if len(halves) == 2 and all(h.strip() for h in halves):
-        return re.sub(r"(?im)\A\W*answer\b.*$", "", halves[0].strip()).strip(), halves[1].strip(), ""
+    lines, low = text.splitlines(), text.lower()
+    opens = next((i for i, line in enumerate(lines) if line.strip().lower().startswith("test")), 0)
+    if opens and "answer" in low:
+        return "\n".join(lines[:opens]).strip() + "\n", "\n".join(lines[opens + 1 :]).strip() + "\n", ""
     return "", "", "no answer and test found"
 
 
@@ -207,12 +210,12 @@ def validate(answer, test, question, required_import: str, min_asserts: int = 1,
     return run(answer, test, question)
 
 
-def parse_reply(text, question, required_import: str, min_asserts: int = 1, max_functions: int = 1) -> Column:
+def parse_reply(text, required_import: str, min_asserts: int = 1, max_functions: int = 1) -> Column:
     @F.pandas_udf("answer string, test string, error string")
-    def run(s: pd.Series, q: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([answer_and_test(x or "", y or "", required_import, min_asserts, max_functions) for x, y in zip(s, q, strict=True)], columns=["answer", "test", "error"])
+    def run(s: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([answer_and_test(x, required_import, min_asserts, max_functions) for x in s], columns=["answer", "test", "error"])
 
-    return run(text, question)
+    return run(text)
 
 
 def parse_object(text) -> Column:

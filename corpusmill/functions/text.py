@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 #: Every code point that the usual notion of white space in Unicode text covers.
 SPACE = r"[\s\x1c-\x1f]"
 _SPACES = rf"(?U){SPACE}+"
-#: Ranges of CJK ideographs, kana, and their marks.
-CJK = r"[\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{3040}-\x{30FF}\x{3000}-\x{303F}\x{FF00}-\x{FFEF}\x{20000}-\x{2EBEF}]"
+#: Ranges of CJK ideographs, their marks, and full-width forms; kana stay.
+CJK = r"[\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{3000}-\x{303F}\x{F900}-\x{FAFF}\x{FF01}-\x{FF60}\x{FFE0}-\x{FFEF}\x{20000}-\x{2EBEF}]"
 FENCE = "```"
 
 
@@ -43,10 +43,11 @@ def sanitise_messages(messages) -> Column:
 
 
 def strip_fence(x) -> Column:
-    """The contents of the first fence at line starts, tagged json, python or not at all; else the trimmed text."""
-    pattern = rf"(?m)^{FENCE}(?:json|python)?\s*([\s\S]*?)\s*^{FENCE}\s*$"
-    x = _c(x)
-    return F.when(x.rlike(pattern), strip(F.regexp_extract(x, pattern, 1))).otherwise(strip(x))
+    """The contents of the first fence that starts a line and whose end ends one, white space around them aside, tagged
+    json, python or not at all; else the trimmed text."""
+    pattern = rf"(?Umd)^{SPACE}*{FENCE}(?:json|python)?{SPACE}*([\s\S]*?){SPACE}*{FENCE}{SPACE}*$"
+    x = strip(x)
+    return F.when(x.rlike(pattern), strip(F.regexp_extract(x, pattern, 1))).otherwise(x)
 
 
 def code_blocks(x) -> Column:

@@ -29,11 +29,13 @@ def merged(existing: DataFrame, new: DataFrame, ordinal: str) -> DataFrame:
     return keep_first(both.withColumn("__order", F.struct("__source", ordinal)), "__order").drop("__source", "__order")
 
 
-def pair_union(used_a, used_b, seeds_a, seeds_b, module: str) -> Column:
-    """Names that two samples use, a's first; if none, their seeds; if still too many to tell, nothing."""
+def pair_union(used_a, used_b, seeds_a, seeds_b, fallback: str | None = None) -> Column:
+    """Names that two samples use, a's first; if none, their seeds; if none either, the fallback (the library's first name)."""
     empty = lambda c: F.coalesce(c, F.array().cast("array<string>"))
     used = F.array_union(empty(used_a), empty(used_b))
-    return F.when(F.size(used) > 0, used).otherwise(F.array_union(empty(seeds_a), empty(seeds_b)))
+    seeds = F.array_union(empty(seeds_a), empty(seeds_b))
+    last = F.array() if fallback is None else F.array(F.lit(fallback))
+    return F.when(F.size(used) > 0, used).when(F.size(seeds) > 0, seeds).otherwise(last.cast("array<string>"))
 
 
 def section_names(docs: DataFrame, library: str, key: str = "doc_id", text: str = "text") -> DataFrame:

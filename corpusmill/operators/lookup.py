@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T
+from corpusmill.sources import io
 
 
 def one_per_key(df: DataFrame, key: str, ordinal: str, last: bool = False) -> DataFrame:
@@ -55,9 +56,11 @@ def unseen(rows: DataFrame, seen: DataFrame, text: str = "question", order: str
 
 
 def numbered(df: DataFrame, order: list[Column | str], name: str = "ordinal") -> DataFrame:
-    """df with its 1-based place in a total order, counted by ranges: one task sees only its own range."""
+    """df with its 1-based place in a total order, counted by ranges: one task sees only its own range. The ranges are
+    written once, since two runs of one range shuffle need not cut alike; sizes are a row for each partition."""
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    placed = ranged.withColumn("__part", F.spark_partition_id()).withColumn("__id", F.monotonically_increasing_id())
+    placed = io.written(ranged.withColumn("__part", F.spark_partition_id()).withColumn("__id", F.monotonically_increasing_id()), "ranges")
     sizes = placed.groupBy("__part").agg(F.count("*").alias("n"), F.min("__id").alias("first"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return placed.join(sizes.select("__part", "first", before.alias("before")), "__part").withColumn(name, F.col("__id") - F.col("first") + F.col("before") + 1).drop("__part", "__id", "first", "before")
+    sizes = F.broadcast(sizes.select("__part", "first", before.alias("before")))
+    return placed.join(sizes, "__part").withColumn(name, F.col("__id") - F.col("first") + F.col("before") + 1).drop("__part", "__id", "first", "before")

@@ -9,27 +9,30 @@ from pyspark.sql import functions as F
 from corpusmill.functions import text as T
 
 
-def weighted(tasks: DataFrame, pool: DataFrame, task: str, name: str, k: Column | int, weight: Column | None = None, seed: int = 0, purpose: str = "sample") -> DataFrame:
-    """(task, name, rank): k distinct names for each task, in the order drawn. Weights of 0 or less are never drawn unless
-    all are; k of 0 or less draws none; k beyond the pool draws all. Every task meets the pool, which a catalogue is; the
-    pair rows are cut to k for each task before they move."""
+def weighted(tasks: DataFrame, pool: DataFrame, task: str, name: str, k: Column | int, weight: Column | None = None, seed: int = 0, purpose: str = "sample", most: int | None = None) -> DataFrame:
+    """(task, name, rank): k distinct names for each task, in the order drawn. Weights of 0 or less are drawn, each as
+    likely, once no other is left; k of 0 or less draws none; k beyond the pool draws all. Every task meets the pool, which
+    a catalogue is; with k given as a number, or its bound as `most`, the pair rows are cut for each task before they move."""
+    most = k if isinstance(k, int) else most
     k = F.lit(k) if isinstance(k, int) else k
     names = pool.select(F.col(name).alias("__name"), (F.lit(1.0) if weight is None else weight).cast("double").alias("__w"))
-    any_weight = names.agg(F.max("__w").alias("__top"))
-    pairs = tasks.select(F.col(task).alias("__task"), k.alias("__k")).where("__k > 0").crossJoin(names.crossJoin(any_weight))
-    usable = pairs.where((F.col("__w") > 0) | ~(F.col("__top") > 0))
-    key = T.race(T.uniform(seed, purpose, F.col("__task"), F.col("__name")), F.when(F.col("__top") > 0, F.col("__w")).otherwise(1.0))
-    order = Window.partitionBy("__task").orderBy("__key", "__name")
-    ranked = usable.withColumn("__key", key).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= F.col("__k"))
+    pairs = tasks.select(F.col(task).alias("__task"), k.alias("__k")).where("__k > 0").crossJoin(names)
+    weighs = F.coalesce(F.col("__w") > 0, F.lit(False))
+    key = T.race(T.uniform(seed, purpose, F.col("__task"), F.col("__name")), F.when(weighs, F.col("__w")).otherwise(1.0))
+    order = Window.partitionBy("__task").orderBy("__late", "__key", "__name")
+    ranked = pairs.withColumns({"__late": ~weighs, "__key": key}).withColumn("rank", F.row_number().over(order))
+    if most is not None:
+        ranked = ranked.where(F.col("rank") <= most)
+    ranked = ranked.where(F.col("rank") <= F.col("__k"))
     return ranked.select(F.col("__task").alias(task), F.col("__name").alias(name), "rank")
 
 
-def seed_apis(tasks: DataFrame, docs: DataFrame, counts: DataFrame, k: Column | int, alpha: float = 0.7, biased: bool = True, seed: int = 0, task: str = "task_id", name: str = "full_name") -> DataFrame:
+def seed_apis(tasks: DataFrame, docs: DataFrame, counts: DataFrame, k: Column | int, alpha: float = 0.7, biased: bool = True, seed: int = 0, task: str = "task_id", name: str = "full_name", most: int | None = None) -> DataFrame:
     """Names for each task, rare ones likelier, on a snapshot of the counts."""
     from corpusmill.operators.lookup import with_counts
 
     pool = with_counts(docs.select(name), counts, name)
-    return weighted(tasks, pool, task, name, k, T.rarity("use_count", alpha) if biased else None, seed, "seeds")
+    return weighted(tasks, pool, task, name, k, T.rarity("use_count", alpha) if biased else None, seed, "seeds", most)
 
 
 def counted_at_draw(drawn: DataFrame, counts: DataFrame, name: str = "full_name") -> DataFrame:

@@ -72,15 +72,16 @@ def normalise_question(spark, sf_dir):
     return Tables(spark, sf_dir).documents.select("doc_id", F.md5(T.normalise_question("text")).alias("h"))
 
 
-@query(r"SELECT doc_id, md5(regexp_replace(text || '日本語テスト𠀋!', '[\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{3040}-\x{30FF}\x{3000}-\x{303F}\x{FF00}-\x{FFEF}\x{20000}-\x{2EBEF}]', '', 'g')) AS h FROM documents")
+# what must stay after the text is spelt out: kana, half-width kana and the blank full-width block's first place
+@query(r"SELECT doc_id, md5(regexp_replace(text, '[\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{3000}-\x{303F}\x{F900}-\x{FAFF}\x{FF01}-\x{FF60}\x{FFE0}-\x{FFEF}\x{20000}-\x{2EBEF}]', '', 'g') || 'テストの＀ｱｦ!') AS h FROM documents")
 def strip_cjk(spark, sf_dir):
-    return Tables(spark, sf_dir).documents.select("doc_id", F.md5(T.strip_cjk(F.concat("text", F.lit("日本語テスト𠀋!")))).alias("h"))
+    return Tables(spark, sf_dir).documents.select("doc_id", F.md5(T.strip_cjk(F.concat("text", F.lit("日本語テストの。＀！ｱｦ￠𠀀!")))).alias("h"))
 
 
-@query("SELECT conv_id, md5(string_agg(role || ':' || coalesce(text, ''), '|' ORDER BY turn, role, text)) AS h FROM conversations GROUP BY conv_id")
+@query("SELECT conv_id, md5(string_agg(role || ':' || coalesce(text, '') || 'カ', '|' ORDER BY turn, role, text)) AS h FROM conversations GROUP BY conv_id")
 def sanitise_messages(spark, sf_dir):
     c = Tables(spark, sf_dir).conversations.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("m"))
-    m = T.sanitise_messages(F.transform("m", lambda x: F.struct(x["role"].alias("role"), F.concat(F.coalesce(x["text"], F.lit("")), F.lit("漢")).alias("content"))))
+    m = T.sanitise_messages(F.transform("m", lambda x: F.struct(x["role"].alias("role"), F.concat(F.coalesce(x["text"], F.lit("")), F.lit("漢カ。")).alias("content"))))
     return c.select("conv_id", F.md5(F.array_join(F.transform(m, lambda x: F.concat_ws(":", x["role"], x["content"])), "|")).alias("h"))
 
 
@@ -96,16 +97,31 @@ def _fenced(tag: str, x: Column) -> Column:
     return F.concat(F.lit(f"{FENCE}{tag}\n"), x, F.lit(f"\n{FENCE}\n"))
 
 
-@query(f"SELECT conv_id, turn, md5(regexp_replace(text, '^{_SPACES}|{_SPACES}$', '', 'g')) AS h FROM conversations {_TURN}")
+_TRIM = f"^{_SPACES}|{_SPACES}$"
+_S = _SPACES.rstrip("+")
+_F3 = "```"
+
+
+@query(f"""WITH made AS (SELECT conv_id, turn, regexp_replace(CASE turn % 5
+    WHEN 0 THEN 'Here:' || chr(10) || '{_F3}python' || chr(10) || text || chr(10) || '{_F3}' || chr(10) || 'done'
+    WHEN 1 THEN '  {_F3}json ' || text || ' {_F3}  '
+    WHEN 2 THEN 'x' || chr(10) || chr(9) || '{_F3}' || chr(10) || text || ' end{_F3}  ' || chr(10) || 'more'
+    WHEN 3 THEN text || ' {_F3}python a{_F3} b' ELSE text END, '{_TRIM}', '', 'g') AS t FROM conversations)
+SELECT conv_id, turn, md5(CASE WHEN regexp_matches(t, '(?m)^{_S}*{_F3}(?:json|python)?{_S}*((?s:.)*?){_S}*{_F3}{_S}*$')
+    THEN regexp_replace(regexp_extract(t, '(?m)^{_S}*{_F3}(?:json|python)?{_S}*((?s:.)*?){_S}*{_F3}{_S}*$', 1), '{_TRIM}', '', 'g') ELSE t END) AS h FROM made""")
 def strip_fence(spark, sf_dir):
-    made = F.concat(F.lit("Here:\n"), _fenced("python", F.col("text")), F.lit("done"))
-    return _turns(spark, sf_dir).select("conv_id", "turn", F.md5(T.strip_fence(made)).alias("h"))
+    n, x = F.col("turn") % 5, F.col("text")
+    made = F.when(n == 0, F.concat(F.lit("Here:\n"), _fenced("python", x), F.lit("done"))).when(n == 1, F.concat(F.lit(f"  {FENCE}json "), x, F.lit(f" {FENCE}  ")))
+    made = made.when(n == 2, F.concat(F.lit(f"x\n\t{FENCE}\n"), x, F.lit(f" end{FENCE}  \nmore"))).when(n == 3, F.concat(x, F.lit(f" {FENCE}python a{FENCE} b"))).otherwise(x)
+    return Tables(spark, sf_dir).conversations.select("conv_id", "turn", F.md5(T.strip_fence(made)).alias("h"))
 
 
-@query(f"SELECT conv_id, turn, 2::BIGINT AS n, md5(regexp_replace(text, '^{_SPACES}|{_SPACES}$', '', 'g') || '|' || role) AS h FROM conversations {_TURN}")
+@query(f"""WITH b AS (SELECT conv_id, turn, list_transform(regexp_extract_all('{_F3}py' || chr(10) || text || chr(10) || '{_F3}' || chr(10) || 'and' || chr(10) || '{_F3}' || chr(10) || role || chr(10) || '{_F3}' || chr(10),
+    '(?i){_F3}(?:\\s*(?:python|py))?\\s*((?s:.)*?){_F3}', 1), lambda x: regexp_replace(x, '{_TRIM}', '', 'g')) AS b FROM conversations)
+SELECT conv_id, turn, len(b)::BIGINT AS n, md5(array_to_string(b, '|')) AS h FROM b""")
 def code_blocks(spark, sf_dir):
     made = F.concat(_fenced("py", F.col("text")), F.lit("and\n"), _fenced("", F.col("role")))
-    return _turns(spark, sf_dir).withColumn("b", T.code_blocks(made)).select("conv_id", "turn", F.size("b").cast("long").alias("n"), F.md5(F.array_join("b", "|")).alias("h"))
+    return Tables(spark, sf_dir).conversations.withColumn("b", T.code_blocks(made)).select("conv_id", "turn", F.size("b").cast("long").alias("n"), F.md5(F.array_join("b", "|")).alias("h"))
 
 
 @query(rf"SELECT conv_id, turn, md5(CASE WHEN length(t) >= 1 THEN t ELSE 'a' END) AS h FROM (SELECT *, regexp_replace(text, '^\n+|\n+$', '', 'g') AS t FROM conversations) {_TURN}")
@@ -284,8 +300,7 @@ def keep_first(spark, sf_dir):
 
 @query(f"SELECT count(DISTINCT k) AS n FROM (SELECT {_NORM} AS k FROM documents) WHERE k <> ''")
 def accepted_count(spark, sf_dir):
-    d = Tables(spark, sf_dir).documents.select(T.normalise_question("text").alias("key")).where("key <> ''")
-    return d.agg(F.count_distinct("key").alias("n"))
+    return spark.createDataFrame([(metrics.accepted_count(Tables(spark, sf_dir).documents, "text"),)], "n bigint")
 
 
 @query(f"""WITH b AS (SELECT 0 AS s, item_id AS id, {_NORM} AS k FROM benchmark UNION ALL SELECT 1, doc_id, {_NORM} FROM documents)
@@ -302,12 +317,12 @@ def unseen_questions(spark, sf_dir):
     return lookup.unseen(t.documents, t.benchmark.select(T.normalise_question("text").alias("key")).distinct(), "text", "doc_id").select("doc_id")
 
 
-@query("SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN p_name || ',' || p_type WHEN 1 THEN p_type ELSE p_brand END AS names FROM part")
+@query("SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN p_name || ',' || p_type WHEN 1 THEN p_type ELSE CASE WHEN p_partkey % 2 = 0 THEN p_brand ELSE 'lib.first' END END AS names FROM part")
 def pair_unions(spark, sf_dir):
     m, none = F.col("p_size") % 3, F.array().cast("array<string>")
     a = F.when(m == 0, F.array("p_name")).otherwise(none)
     b = F.when(m == 0, F.array("p_type", "p_name")).when(m == 1, F.array("p_type")).otherwise(none)
-    return Tables(spark, sf_dir).part.select("p_partkey", F.array_join(dedup.pair_union(a, b, F.array("p_brand"), F.array("p_brand"), "lib"), ",").alias("names"))
+    return Tables(spark, sf_dir).part.select("p_partkey", F.array_join(dedup.pair_union(a, b, F.when(F.col("p_partkey") % 2 == 0, F.array("p_brand")), none, "lib.first"), ",").alias("names"))
 
 
 @query(f"SELECT p_type AS full_name, min(p_partkey) AS ordinal FROM part WHERE p_size % 3 < 2 GROUP BY p_type")
@@ -401,15 +416,15 @@ def release_range(spark, sf_dir):
     return metrics.release_range(p, "l_orderkey")
 
 
-@query("SELECT count(*) AS kept, count(DISTINCT p_name) AS names FROM part")
+@query("SELECT 7::BIGINT AS total, count(*) AS kept, count(DISTINCT p_name) AS unique_names FROM part")
 def run_counters(spark, sf_dir):
-    p = Tables(spark, sf_dir).part
-    return p.agg(F.count("*").alias("kept"), F.count_distinct(_name()).alias("names"))
+    got = metrics.run_counters(Tables(spark, sf_dir).part.select(_name().alias("full_name")), 7)
+    return spark.createDataFrame([tuple(got[k] for k in ("total", "kept", "unique_names"))], "total bigint, kept bigint, unique_names bigint")
 
 
-@query("SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS ordinal FROM documents")
+@query("SELECT doc_id, md5(text) AS h, lang, row_number() OVER (ORDER BY doc_id) AS ordinal FROM documents")
 def numbered(spark, sf_dir):
-    return lookup.numbered(Tables(spark, sf_dir).documents.select("doc_id"), ["doc_id"])
+    return lookup.numbered(Tables(spark, sf_dir).documents, ["doc_id"]).select("doc_id", F.md5("text").alias("h"), "lang", "ordinal")
 
 
 # ---------------------------------------------------------------- sampling
@@ -470,9 +485,11 @@ def _code(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", code.alias("code"), F.concat(F.lit("assert f"), "p_partkey", F.lit("(1)\n")).alias("test"))
 
 
-@query("SELECT p_partkey, 'lib.' || split_part(p_name, ' ', 1) || ',lib.' || replace(p_name, ' ', '.') AS used FROM part")
+@query("""SELECT p_partkey, 'lib.' || split_part(p_name, ' ', 1) || ',lib.' || replace(p_name, ' ', '.')
+    || ',lib.grid,lib.grid.x,lib.run.k,lib.run,lib.dim' AS used FROM part""")
 def used_apis(spark, sf_dir):
-    return _code(Tables(spark, sf_dir)).select("p_partkey", F.array_join(C.used_apis("code", ["l", "lib"], "lib"), ",").alias("used"))
+    more = F.concat("code", F.lit("z = l.grid.x\nl.run.k[1, lib.dim](z)\nother.thing(l)\n"))
+    return _code(Tables(spark, sf_dir)).select("p_partkey", F.array_join(C.used_apis(more, ["l", "lib"], "lib"), ",").alias("used"))
 
 
 @query("SELECT p_partkey, CASE WHEN p_partkey % 3 = 2 THEN NULL WHEN p_partkey % 3 = 1 THEN 'given' ELSE 'f' || p_partkey END AS target FROM part")
@@ -489,14 +506,20 @@ def validated_code(spark, sf_dir):
     return c.select("p_partkey", C.validate(code, test, F.when(m == 3, "print it").otherwise("do it"), "import lib as l")["ok"].alias("ok"))
 
 
-@query("SELECT p_partkey, true AS same FROM part")
+@query("""WITH c AS (SELECT p_partkey, 'import lib as l' || chr(10) || chr(10) || 'def f' || p_partkey || '(x):' || chr(10) || '    return x' || chr(10) AS code,
+    'assert f' || p_partkey || '(1)' || chr(10) AS test FROM part)
+SELECT p_partkey, CASE p_partkey % 6 WHEN 3 THEN '[1]' || chr(10) WHEN 4 THEN 'The answer:' || chr(10) || 'a = 1' || chr(10) WHEN 5 THEN '' ELSE code END AS answer,
+    CASE p_partkey % 6 WHEN 3 THEN 'None' || chr(10) WHEN 5 THEN '' ELSE test END AS test FROM c""")
 def parsed_replies(spark, sf_dir):
-    c, m = _code(Tables(spark, sf_dir)).select("p_partkey", F.trim("code").alias("code"), F.trim("test").alias("test")), F.col("p_partkey") % 3
-    whole = F.to_json(F.struct(F.col("code").alias("answer"), F.col("test").alias("test")))
-    reply = F.when(m == 0, whole).when(m == 1, F.concat(_fenced("python", F.col("test")), _fenced("python", F.col("code")))).otherwise(F.concat(F.lit("Sure: "), whole, F.lit(" ok")))
-    got = c.withColumn("r", C.parse_reply(reply, F.lit("q"), "import lib as l"))
-    strip = lambda x: F.regexp_replace(x, r"\s+\z", "")
-    return got.select("p_partkey", ((strip("r.answer") == strip("code")) & (strip("r.test") == strip("test"))).alias("same"))
+    """Replies as JSON, as blocks in the wrong order, as fenced values in JSON, as other values, as lines, as nothing."""
+    m, p = F.col("p_partkey") % 6, F.col("p_partkey").cast("string")
+    t = Tables(spark, sf_dir).part.select("p_partkey", F.concat(F.lit("import lib as l\n\ndef f"), p, F.lit("(x):\n    return x")).alias("code"), F.concat(F.lit("assert f"), p, F.lit("(1)")).alias("test"))
+    json = lambda a, b: F.to_json(F.struct(a.alias("answer"), b.alias("test")))
+    code, test = F.col("code"), F.col("test")
+    reply = F.when(m == 0, F.concat(F.lit("Sure: "), json(code, test), F.lit(" ok"))).when(m == 1, F.concat(_fenced("python", test), _fenced("", code)))
+    reply = reply.when(m == 2, F.concat(F.lit(f" {FENCE}json "), json(F.concat(F.lit(f"{FENCE}python "), code, F.lit(FENCE)), _fenced("", test)), F.lit(f"{FENCE} ")))
+    reply = reply.when(m == 3, '{"answer": [1], "test": null}').when(m == 4, F.concat(F.lit("The answer:\na = 1\n TEST it:\n\n"), test)).otherwise("testing only")
+    return t.withColumn("r", C.parse_reply(reply, "import lib as l")).select("p_partkey", "r.answer", "r.test")
 
 
 @query("SELECT event_id, CASE WHEN event_id % 3 = 2 THEN NULL ELSE '{\"k\":' || json_extract_string(props, '$.k') || '}' END AS o FROM events")

@@ -110,7 +110,7 @@ def answer(row: dict, candidate: int, client, judge, runner, spec: SynthesisSpec
         out["attempts"], text = attempt + 1, ""
         try:
             text = client.complete(messages, 1, f"a/{row['task_id']}/{candidate}/{attempt}")[0]
-            code, test, error = C.answer_and_test(text, row["question"], spec.required_import, spec.min_asserts, spec.max_top_level_functions)
+            code, test, error = C.answer_and_test(text, spec.required_import, spec.min_asserts, spec.max_top_level_functions)
             name = ""
             if not error:
                 _, name, error = C.checked(code, test, row["question"], spec.required_import, spec.min_asserts, spec.max_top_level_functions)
@@ -155,7 +155,7 @@ class SynthesisLoop:
         """(task_id, k, seed_apis, context) of a round, on a snapshot of the accepted samples."""
         o = self.options
         tasks = self.spark.range(first, first + n).select(F.col("id").alias("task_id")).withColumn("k", sampling.k_choice(o.k, seed=o.seed))
-        drawn = sampling.seed_apis(tasks, self.docs, metrics.usage_counts(accepted), F.col("k"), o.alpha, o.biased, o.seed)
+        drawn = sampling.seed_apis(tasks, self.docs, metrics.usage_counts(accepted), F.col("k"), o.alpha, o.biased, o.seed, most=max(o.k))
         seeds = drawn.join(self.docs, "full_name").groupBy("task_id").agg(F.array_sort(F.collect_list(F.struct("rank", "full_name", "signature", "docstring"))).alias("s"))
         return tasks.join(seeds, "task_id").select("task_id", "k", F.transform("s", lambda x: x["full_name"]).alias("seed_apis"), F.to_json("s", {"ignoreNullFields": "false"}).alias("context"), F.array().cast("array<string>").alias("sources"))
 
@@ -256,6 +256,8 @@ class FusionLoop(SynthesisLoop):
     def __init__(self, *args, pool: DataFrame, depth: int, require_both_sources: bool = False, **kwargs):
         super().__init__(*args, **kwargs)
         self.depth, self.require_both_sources = depth, require_both_sources
+        #: What a pair without any name is asked about: the library's first name.
+        self.fallback = self.docs.agg(F.min("full_name")).first()[0]
         module, prefixes = self.spec.module_name, self.spec.module_call_prefixes
         names = T.canonical_list("used_apis", prefixes, module)
         usable = pool.where("trim(coalesce(question, '')) <> '' AND trim(coalesce(answer, '')) <> '' AND trim(coalesce(test, '')) <> ''")
@@ -269,7 +271,7 @@ class FusionLoop(SynthesisLoop):
         pairs = sampling.pairs(tasks, sampling.example_weights(pool, counts, "example", o.alpha), "example", o.seed, o.biased)
         side = lambda s: pool.select(F.col("example").alias(s), *(F.col(c).alias(f"{s}_{c}") for c in ("question", "answer", "test", "used_apis", "seed_apis")))
         both = pairs.join(side("a"), "a").join(side("b"), "b")
-        names = dedup.pair_union(F.col("a_used_apis"), F.col("b_used_apis"), F.col("a_seed_apis"), F.col("b_seed_apis"), self.spec.module_name)
+        names = dedup.pair_union(F.col("a_used_apis"), F.col("b_used_apis"), F.col("a_seed_apis"), F.col("b_seed_apis"), self.fallback)
         told = rules.template("Example A:\n{aq}\n{aa}\n{at}\n\nExample B:\n{bq}\n{ba}\n{bt}", {"aq": F.col("a_question"), "aa": F.col("a_answer"), "at": F.col("a_test"), "bq": F.col("b_question"), "ba": F.col("b_answer"), "bt": F.col("b_test")})
         must = F.array("a_used_apis", "b_used_apis") if self.require_both_sources else F.array().cast("array<array<string>>")
         return both.select("task_id", F.size(names).alias("k"), names.alias("seed_apis"), told.alias("context"), F.array("a", "b").alias("sources"), must.alias("must"))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -13,6 +15,27 @@ from corpusmill import schemas
 from corpusmill.functions import text as T
 
 _BAD = "__bad_line"
+_LOCAL: list[str] = []
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local session, whose driver and executors
+    are one process, gets a temporary one where it is unset."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if at:
+        return at
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if not _LOCAL:
+        _LOCAL.append("file://" + tempfile.mkdtemp(prefix="checkpoints"))
+    return _LOCAL[0]
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a Parquet table in the shared folder: computed once, with no lineage behind it."""
+    at = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
 def strict(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:

@@ -55,7 +55,8 @@ def test_sampling(spark):
     tasks = spark.range(3000).select(F.col("id").alias("task_id"))
     pool = spark.createDataFrame([("a", 1.0), ("b", 3.0), ("c", 0.0)], "name string, w double")
     got = sampling.weighted(tasks, pool, "task_id", "name", 5, F.col("w")).toPandas()
-    assert set(got.groupby("task_id").size()) == {2} and "c" not in set(got.name)
+    assert set(got.groupby("task_id").size()) == {3} and set(got[got.name == "c"]["rank"]) == {3}
+    assert "c" not in set(sampling.weighted(tasks, pool, "task_id", "name", F.lit(2), F.col("w"), most=2).toPandas().name)
     assert (got[got["rank"] == 1].name == "b").mean() == pytest.approx(0.75, abs=0.03)
     zero = pool.withColumn("w", F.lit(0.0))
     assert set(sampling.weighted(tasks.limit(5), zero, "task_id", "name", 2, F.col("w")).groupBy("task_id").count().toPandas()["count"]) == {2}
@@ -224,3 +225,10 @@ def test_streams(spark, tmp_path):
 def test_tally_counts_first_attempts(spark):
     df = spark.createDataFrame([(1, 1, True), (1, 2, False), (1, 3, True)], "idx int, attempt int, passed boolean")
     assert metrics.tally(df, ["idx"], 2).first().c == 1
+
+
+@pytest.mark.parametrize("parts", [1, 7, 40])
+def test_numbers_reach_all_rows(spark, parts):
+    wide = spark.range(5000).select(F.col("id"), F.repeat(F.sha2(F.col("id").cast("string"), 512), 30).alias("text")).repartition(parts)
+    got = lookup.numbered(wide, [F.desc("id")]).select("id", "ordinal").collect()
+    assert sorted((r.id, r.ordinal) for r in got) == [(i, 5000 - i) for i in range(5000)]

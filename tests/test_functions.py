@@ -86,9 +86,9 @@ def test_json_object():
 def test_answer_and_test():
     a, t = "import lib\ndef f(): return lib.x()", "assert f()"
     both = f"{FENCE}python\n{t}\n{FENCE}\n{FENCE}python\n{a}\n{FENCE}"
-    assert C.answer_and_test(both, "q", "import lib") == (a, t, "")
-    assert C.answer_and_test('{"answer_lines": ["a", "b"], "test_lines": ["c"]}', "q", "import lib") == ("a\nb", "c", "")
-    assert C.answer_and_test("nothing", "q", "import lib")[2]
+    assert C.answer_and_test(both, "import lib") == (a.strip() + "\n", t.strip() + "\n", "")
+    assert C.answer_and_test('{"answer_lines": ["a", "b"], "test_lines": ["c"]}', "import lib") == ("a\nb\n", "c\n", "")
+    assert C.answer_and_test("nothing", "import lib")[2]
 
 
 def test_docstrings_of_methods_stay():
