@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from corpusmill.llm import sql
 from corpusmill.llm.decontamination import op5_decontamination
 from corpusmill.llm.langid import op1_language_id
 from corpusmill.llm.near_dups import op9_near_dups
@@ -20,4 +21,4 @@ QUERIES = {
         op6_toxicity, op7_pii, op8_secrets, op9_near_dups, op10_topk,
     )
 }
-ORACLE_SQL: dict[str, str] = {"op10_topk": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_suffix_dedup": sql.OP3, "op5_decontamination": sql.OP5, "op9_near_dups": sql.OP9, "op10_topk": OP10_SQL}

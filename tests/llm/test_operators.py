@@ -189,8 +189,9 @@ def test_components(spark):
     assert all(out[i] == 0 for i in range(41)) and out[103] == 100
 
 
-def test_topk(spark):
-    assert_same(QUERIES["op10_topk"](spark, SF), ORACLE_SQL["op10_topk"])
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_rows_equal_sql(spark, name):
+    assert_same(QUERIES[name](spark, SF), ORACLE_SQL[name])
 
 
 def test_topk_is_exact_beyond_doubles(spark):
