@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step works on; a longer text is one step of its own.
-STEP_BYTES = 1 << 20
+STEP_BYTES = 1 << 19
 HELD_OUT_REMAINDER = 2
 BATCH_BYTES = 4 << 20
 _LOCAL: list[str] = []
@@ -59,13 +60,20 @@ def _drop(spark: SparkSession, at: str) -> None:
         pass
 
 
+def _trim() -> None:
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def in_arrow(df: DataFrame, work, schema: str) -> DataFrame:
     """mapInArrow in batches of at most BATCH_BYTES, where the session has not set a bound of its own: a batch is held
     several times, in the JVM and in Python, and Spark's bound would let it grow to 64 MB."""
     conf = df.sparkSession.conf
     if conf.get(_BATCH, _BATCH_DEFAULT) == _BATCH_DEFAULT:
         conf.set(_BATCH, str(BATCH_BYTES))
-    return df.mapInArrow(work, schema)
+    return df.mapInArrow(run, schema)
 
 
 def one_per_id(df: DataFrame, key: str, value: str) -> DataFrame:
