@@ -69,7 +69,14 @@ def _trim() -> None:
 
 def in_arrow(df: DataFrame, work, schema: str) -> DataFrame:
     """mapInArrow in batches of at most BATCH_BYTES, where the session has not set a bound of its own: a batch is held
-    several times, in the JVM and in Python, and Spark's bound would let it grow to 64 MB."""
+    several times, in the JVM and in Python, and Spark's bound would let it grow to 64 MB. Workers outlive their tasks;
+    what a task has freed goes back to the system at its end."""
+
+    def run(batches):
+        yield from work(batches)
+        pa.default_memory_pool().release_unused()
+        _trim()
+
     conf = df.sparkSession.conf
     if conf.get(_BATCH, _BATCH_DEFAULT) == _BATCH_DEFAULT:
         conf.set(_BATCH, str(BATCH_BYTES))
