@@ -2,9 +2,10 @@
 
 Categories are predicted one after the other, each by a linear model over hashed features and the probabilities of the
 categories before it; while training, those probabilities are out of fold, so that a later model learns from what an
-earlier one says of texts it has not seen. The labels hold one mark, `toxic`; the two categories before it in the chain
-are told apart by how a toxic text offends: by whole words that only toxic texts use (`insult`) or by word stems that
-only they use (`coined`). Features are the distinct lower-cased words of the whole text and their first 4 and 5 bytes.
+earlier one says of texts it has not seen: a fold's models, their choice of features and their marks come from the other
+folds alone. The labels hold one mark, `toxic`, so the two categories before it in the chain are derived from it, by how a
+toxic text offends: by whole words that only toxic texts use (`insult`) or by word stems that only they use (`coined`).
+Features are the distinct lower-cased words of the whole text and their first 4 and 5 bytes.
 
 Cases: null and empty texts score by the biases alone; with no labels every score is 0; labels as in the quality
 classifier; repeated rows are each scored; further columns are ignored.
@@ -43,6 +44,26 @@ def features(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return feat.astype(np.int64), np.concatenate([r for _, r, _ in parts]), np.concatenate([np.full(len(r), k, np.int8) for _, r, k in parts])
 
 
+def _told(rows: list[np.ndarray], kinds: list[np.ndarray], toxic: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """What some labelled texts tell: the features that are weighed, and the texts' mark for each category."""
+    bad, good = np.zeros(1 << BITS), np.zeros(1 << BITS)
+    for feat, y in zip(rows, toxic, strict=True):
+        (bad if y else good)[feat] += 1
+    cue = (bad >= CUE_TEXTS) & (good * max(toxic.sum(), 1) <= CUE_CLEAN * bad * max((1 - toxic).sum(), 1))
+    by_kind = [np.array([y and bool((cue[f] & (k == kind)).any()) for f, k, y in zip(rows, kinds, toxic, strict=True)], float) for kind in (0, 1)]
+    # only telling features are weighed: noise from words that few texts have would drown them
+    base = max(toxic.sum(), 1) / max(len(toxic), 1)
+    telling = (bad >= TELLING_TEXTS) & (bad >= TELLING_SHARE * base * (bad + good))
+    return telling, dict(zip(CHAIN, [*by_kind, toxic], strict=True))
+
+
+def _fitted(rows: list[np.ndarray], earlier: np.ndarray, telling: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Weights of one model; 0 for every feature that is not telling."""
+    lead, used = np.arange(earlier.shape[1] + 1), [f[telling[f]] for f in rows]
+    made = [(np.concatenate([lead, f]), np.concatenate([[1.0], e, np.ones(len(f))])) for f, e in zip(used, earlier, strict=True)]
+    return Ftrl(1 << BITS, alpha=0.3, l1=1.0, l2=0.1).fit(made, y, EPOCHS).weights()
+
+
 def train(texts: list[str], toxic: list[int]) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each category its non-zero (features, weights); feature 0 is the bias, 1.. are earlier probabilities."""
     toxic = np.array(toxic, float)
@@ -53,34 +74,18 @@ def train(texts: list[str], toxic: list[int]) -> list[tuple[np.ndarray, np.ndarr
         feat, at = np.unique(feat, return_index=True)
         rows.append(feat)
         kinds.append(kind[at])
-    bad, good = np.zeros(1 << BITS), np.zeros(1 << BITS)
-    for feat, y in zip(rows, toxic, strict=True):
-        (bad if y else good)[feat] += 1
-    cue = (bad >= CUE_TEXTS) & (good * max(toxic.sum(), 1) <= CUE_CLEAN * bad * max((1 - toxic).sum(), 1))
-    labels = {
-        "insult": np.array([y and bool((cue[f] & (k == 0)).any()) for f, k, y in zip(rows, kinds, toxic, strict=True)], float),
-        "coined": np.array([y and bool((cue[f] & (k == 1)).any()) for f, k, y in zip(rows, kinds, toxic, strict=True)], float),
-        "toxic": toxic,
-    }
-    # only telling features are weighed: noise from words that few texts have would drown them
-    base = max(toxic.sum(), 1) / max(len(toxic), 1)
-    telling = (bad >= TELLING_TEXTS) & (bad >= TELLING_SHARE * base * (bad + good))
-    rows = [f[telling[f]] for f in rows]
     fold = np.arange(len(rows)) % FOLDS
+    parts = [*(np.flatnonzero(fold != part) for part in range(FOLDS)), np.arange(len(rows))]
+    # marks and features of a fold's models come from the texts that these models learn from, and from no other
+    known = [_told([rows[i] for i in ids], [kinds[i] for i in ids], toxic[ids]) for ids in parts]
     earlier, chain = np.zeros((len(rows), 0)), []
     for name in CHAIN:
-        y, k = labels[name], earlier.shape[1]
-        lead = np.arange(k + 1)
-        made = [(np.concatenate([lead, f]), np.concatenate([[1.0], e, np.ones(len(f))])) for f, e in zip(rows, earlier, strict=True)]
-        new = lambda: Ftrl(1 << BITS, alpha=0.3, l1=1.0, l2=0.1)
-        unseen = np.zeros(len(rows))
-        for part in range(FOLDS):
-            ids = np.flatnonzero(fold != part)
-            w = new().fit([made[i] for i in ids], y[ids], EPOCHS).weights()
-            unseen[fold == part] = [w[made[i][0]] @ made[i][1] for i in np.flatnonzero(fold == part)]
-        w = new().fit(made, y, EPOCHS).weights()
+        k = earlier.shape[1]
+        fitted = [_fitted([rows[i] for i in ids], earlier[ids], telling, marks[name]) for ids, (telling, marks) in zip(parts, known, strict=True)]
+        unseen = [fitted[fold[i]][0] + fitted[fold[i]][1 : k + 1] @ earlier[i] + fitted[fold[i]][f].sum() for i, f in enumerate(rows)]
+        w = fitted[-1]
         chain.append((np.flatnonzero(w), w[np.flatnonzero(w)]))
-        earlier = np.column_stack([earlier, sigmoids(unseen)])
+        earlier = np.column_stack([earlier, sigmoids(np.array(unseen))])
     return chain
 
 
