@@ -79,7 +79,7 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 def documents(spark: SparkSession, path: str) -> DataFrame:
     """(path, text): whole files; bytes that are no UTF-8 are left out."""
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     return whole.select(F.col("_metadata.file_path").alias("path"), F.regexp_replace("value", "\ufffd", "").alias("text"))
 
 

@@ -1,6 +1,6 @@
 import pytest
 
-from corpusmill.plans import catalogue
+from corpusmill.plans import catalogue, stage_queries  # noqa: F401  registers its queries
 from tests.compare import SF, assert_same
 
 

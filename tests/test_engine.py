@@ -34,9 +34,9 @@ def test_scans(spark, tmp_path):
 
 
 def test_texts_and_names(spark, tmp_path):
-    (tmp_path / "t.txt").write_bytes(b"caf\xc3\xa9\xff ok")
+    (tmp_path / "t.txt").write_bytes(b"caf\xc3\xa9\xff ok\n\nmore")
     (tmp_path / "n.txt").write_text("# c\n\n lib.a \nlib.a\nlib.b\n")
-    assert io.documents(spark, str(tmp_path / "t.txt")).first().text == "café ok"
+    assert io.documents(spark, str(tmp_path / "t.txt")).first().text == "café ok\n\nmore"
     assert sorted(r[0] for r in io.names(spark, str(tmp_path / "n.txt")).collect()) == ["lib.a", "lib.b"]
 
 
