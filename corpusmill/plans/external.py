@@ -72,15 +72,15 @@ class LocalRunner:
 
 
 class ContainerRunner(LocalRunner):
-    """The same in a container without network and with bounds on memory and cores."""
+    """The same in a container without network and with bounds on memory and cores. env is that of the container program."""
 
-    def __init__(self, image: str, timeout: float = 20.0, memory: str = "2g", cpus: str = "1", program: str = "docker"):
-        super().__init__(timeout)
+    def __init__(self, image: str, timeout: float = 20.0, memory: str = "2g", cpus: str = "2", program: str = "docker", env: dict | None = None):
+        super().__init__(timeout, env=env)
         self.command = [program, "run", "--rm", "-i", "--network", "none", "--memory", memory, "--cpus", cpus, image, "python", "-"]
 
     def run(self, code: str) -> tuple[bool, str]:
         try:
-            p = subprocess.run(self.command, input=code, capture_output=True, text=True, timeout=self.timeout, errors="replace")
+            p = subprocess.run(self.command, input=code, capture_output=True, text=True, timeout=self.timeout, errors="replace", env={**self.env, **os.environ})
         except (subprocess.TimeoutExpired, OSError) as e:
             return False, str(e)
         return p.returncode == 0, p.stdout + p.stderr
