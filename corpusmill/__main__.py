@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import json
+from contextlib import nullcontext
 from dataclasses import asdict, fields
 from pathlib import Path
 
@@ -18,6 +19,7 @@ from corpusmill.plans import catalogue, stage_queries  # noqa: F401  registers i
 from corpusmill.plans.evaluate import EvaluationConfig, Evaluator
 from corpusmill.plans.external import ChatClient, ContainerRunner, LocalRunner
 from corpusmill.plans.loop import FusionLoop, LoopOptions, SynthesisLoop, SynthesisSpec, fuse_depths
+from corpusmill.plans.serving import Server
 from corpusmill.sources import io, live
 
 DOCS = "full_name string, signature string, docstring string"
@@ -69,7 +71,9 @@ def parser() -> argparse.ArgumentParser:
     x.add_argument("--benchmark", required=True, help="JSON lines")
     x.add_argument("--docs", required=True, help="API records, JSON lines")
     x.add_argument("--config", help="JSON object merged over the defaults")
-    x.add_argument("--mode", choices=["gold", "none"], default="gold")
+    x.add_argument("--mode", choices=["gold", "none", "both"], default="gold", help="both: none, then gold, each in a folder of its own")
+    x.add_argument("--serve", help="command of a model server to start at --url and to end after the run")
+    x.add_argument("--model-dir", help="folder of the served model, checked before the start")
     x.add_argument("--dump-config", help="write the effective configuration there and stop")
     x.add_argument("--out", required=True)
     _endpoints(x)
@@ -135,13 +139,20 @@ def evaluate(spark: SparkSession, a) -> dict:
     if a.dump_config:
         io.write_report(asdict(config), a.dump_config)
         return {"config": a.dump_config}
+    with Server(a.serve, a.url, a.model_dir) if a.serve else nullcontext():
+        if a.mode != "both":
+            return _evaluate(spark, a, config, a.mode, a.out)
+        return {mode: _evaluate(spark, a, config, mode, f"{a.out}/{mode}") for mode in ("none", "gold")}
+
+
+def _evaluate(spark: SparkSession, a, config: EvaluationConfig, mode: str, out: str) -> dict:
     items = lookup.numbered(io.lines(spark, a.benchmark), ["ordinal"], "idx").select("idx", "line")
     ev = Evaluator(config, ChatClient(a.url, a.model, token=a.token), _runner(a))
-    io.write_jsonl(ev.generate(ev.prompts(items, io.lenient(spark, a.docs, DOCS), a.mode)), f"{a.out}/generations", "overwrite", order="idx")
-    done, means = ev.run(io.strict(spark, f"{a.out}/generations", schemas.GENERATIONS))
-    io.write_jsonl(done, f"{a.out}/attempts", "overwrite", order="idx")
+    io.write_jsonl(ev.generate(ev.prompts(items, io.lenient(spark, a.docs, DOCS), mode)), f"{out}/generations", "overwrite", order="idx")
+    done, means = ev.run(io.strict(spark, f"{out}/generations", schemas.GENERATIONS))
+    io.write_jsonl(done, f"{out}/attempts", "overwrite", order="idx")
     row = means.first().asDict()
-    io.write_report(row, f"{a.out}/report.json")
+    io.write_report(row, f"{out}/report.json")
     return row
 
 

@@ -1,6 +1,8 @@
 """The command line over small files."""
 
 import json
+import socket
+import sys
 import threading
 from http.server import BaseHTTPRequestHandler, HTTPServer
 
@@ -8,6 +10,7 @@ import pytest
 
 from corpusmill.__main__ import main
 from corpusmill.plans.external import ContainerRunner
+from corpusmill.plans.serving import Server
 from tests.compare import SF
 
 
@@ -53,6 +56,10 @@ class _Chat(BaseHTTPRequestHandler):
         self.end_headers()
         self.wfile.write(out)
 
+    def do_GET(self):
+        self.send_response(200)
+        self.end_headers()
+
     def log_message(self, *a):
         pass
 
@@ -92,8 +99,10 @@ def test_evaluate(spark, tmp_path, chat):
     main([*args, "--dump-config", str(tmp_path / "dump.json")], spark)
     dumped = json.loads((tmp_path / "dump.json").read_text())
     assert dumped["titles"] == {"gold": "Relevant API:", "none": "N:"} and dumped["k"] == 2
-    got = main(args, spark)
-    assert got["total"] == 2 and got["pass_at_1"] == 0.5 == json.loads((tmp_path / "e/report.json").read_text())["pass_at_1"]
+    got = main([*args, "--mode", "both"], spark)
+    assert list(got) == ["none", "gold"]
+    for mode in got:
+        assert got[mode]["total"] == 2 and got[mode]["pass_at_1"] == 0.5 == json.loads((tmp_path / f"e/{mode}/report.json").read_text())["pass_at_1"]
 
 
 def test_container_runner(tmp_path):
@@ -102,3 +111,25 @@ def test_container_runner(tmp_path):
     program.chmod(0o755)
     ok, said = ContainerRunner("im", program=str(program), env={"SIM": "on"}).run("print(1)")
     assert ok and said == "run --rm -i --network none --memory 2g --cpus 2 im python - on\n"
+
+
+def test_server(tmp_path):
+    with socket.socket() as s:
+        s.bind(("127.0.0.1", 0))
+        port = s.getsockname()[1]
+    (tmp_path / "v1").mkdir()
+    (tmp_path / "v1/models").write_text("{}")
+    url, command = f"http://127.0.0.1:{port}", f"{sys.executable} -m http.server {port} --bind 127.0.0.1 --directory {tmp_path}"
+    with pytest.raises(ValueError, match="weights"):
+        Server(command, url, str(tmp_path)).check()
+    (tmp_path / "config.json").write_text("{}")
+    (tmp_path / "m.safetensors").write_text("")
+    with Server(command, url, str(tmp_path), 60, 0.2) as server:
+        assert server.ready()
+        with pytest.raises(ValueError, match="already"):
+            Server(command, url).check()
+    assert server.process.returncode is not None and not server.ready()
+    with pytest.raises(RuntimeError, match="ended: .*oops"):
+        Server(f"{sys.executable} -c 'import sys; sys.exit(\"oops\")'", url, timeout=60, pause=0.2).__enter__()
+    with pytest.raises(ValueError, match="program"):
+        Server("no-such-program", url).check()
