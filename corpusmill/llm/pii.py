@@ -2,8 +2,9 @@
 
 Generators propose spans with high recall, overlapping ones too: what the base patterns match, valid or not, and looser
 forms (numbers grouped like phone numbers without a country code, addresses spelt with "at" and "dot", long grouped
-numbers). Features tell a candidate's format and what stands around it. Boosted trees of depth two, fitted on the driver
-to a bounded sample of all candidates, score them; they are planned as CASE expressions. No spans are labelled: the marks
+numbers). Features tell a candidate's format and what stands around it. Boosted trees of depth two, fitted to the
+candidates of all documents, score them; they are planned as CASE expressions. Equal candidates are counted, and the counts
+stay a table: of each step of the fit the driver sees sums by feature and bin. No spans are labelled: the marks
 learned from are rules, the base rules' verdicts, and for loose forms a domain or a cue before the number. What the rules
 look at is not among the trees' features. For each kind the threshold is the lowest score at which the held-out candidates
 of that kind surely keep MIN_PRECISION (lower bound of the share, so that few candidates prove nothing). Base spans and
@@ -40,8 +41,13 @@ LOOSE_EMAIL = rf"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]{{2,64}}+ ?{AT}[a-z0-9-]{{2,
 AT_AND_DOT = rf"(?i){AT}[a-z0-9-]{{2,63}}+{DOT}[a-z0-9-]{{2}}"
 LOOSE_PHONE = r"(?<![0-9+.-])(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-][0-9]{3,4}[ .-][0-9]{3,4}(?![0-9.-])"
 LOOSE_CARD = r"(?<![0-9.-])[0-9]{4}(?:[ ._-][0-9]{4}){3}(?![0-9.-])"
-#: Candidates that the trees are fitted to, about and at most.
-SAMPLE_CANDIDATES = 20_000
+#: No bound: the trees are fitted to all candidates. The name stays for the test that sets it; nothing reads it.
+SAMPLE_CANDIDATES = None
+#: A document in so many, by the hash of its key, is held out for the thresholds; the trees are fitted to the others.
+FOLDS = 4
+#: Features are cut at so many quantiles at most. Gradients are summed in whole parts of 1 / UNIT and leaves are multiples
+#: of 1 / STEP, so sums are exact: the order of rows does not matter, and scores are few.
+CUTS, UNIT, STEP = 16, 1 << 20, 1 << 10
 #: Standard errors that the held-out precision must stay above the least.
 TREES, RATE, MIN_PRECISION, ERRORS = 20, 0.5, 0.99, 2.0
 CONTEXT = 24
@@ -124,50 +130,110 @@ def _features(text: Column, x: Column) -> dict[str, Column]:
     }
 
 
-class Boosted:
-    """Logistic gradient boosting with trees of depth two over small integers."""
+def quantiles(values: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The distinct ones of CUTS quantiles of values, of which each occurs n times."""
+    order = np.argsort(values)
+    until = np.cumsum(n[order])
+    ranks = np.floor(np.linspace(0, 1, CUTS + 1)[:-1] * (until[-1] - 1))
+    return np.unique(values[order][np.searchsorted(until, ranks, "right")])
+
+
+def best_split(sums: np.ndarray, cuts: list[np.ndarray]) -> tuple[int, int, np.ndarray]:
+    """(feature, cut, sums of gradient and curvature on either side) of the split that gains most; sums by feature and bin."""
+    best, whole = (-1.0, 0, 0, np.zeros((2, 2))), sums[0].sum(0)
+    for j, ts in enumerate(cuts):
+        below = np.cumsum(sums[j], 0)
+        for k in range(len(ts)):
+            sides = np.array([below[k], whole - below[k]]) / UNIT
+            gain = float((sides[:, 0] ** 2 / (sides[:, 1] + 1)).sum())
+            if gain > best[0] + 1e-9:
+                best = (gain, j, k, sides)
+    return best[1:]
+
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, trees: int = TREES, rate: float = RATE):
-        p = min(max(y.mean(), 1e-3), 1 - 1e-3)
-        self.bias, self.trees = math.log(p / (1 - p)), []
-        m = np.full(len(y), self.bias)
-        cuts = [np.unique(np.quantile(c, np.linspace(0, 1, 17)[:-1], method="lower")) for c in x.T]
+class Boosted:
+    """Logistic gradient boosting with trees of depth two over small integers, cut into bins."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray, trees: int = TREES, rate: float = RATE, n: np.ndarray | None = None):
+        """Fitted to rows in memory, of which each counts n times."""
+        n = np.ones(len(y), np.int64) if n is None else n
+        self._start([quantiles(c, n) for c in x.T], float((n * y).sum() / n.sum()))
+        bins = self.bins(x)
+
+        def sums(j: int, k: int) -> np.ndarray:
+            q = 1 / (1 + np.exp(-self._of_bins(bins)))
+            out = np.zeros((2, x.shape[1], CUTS + 1, 2), np.int64)
+            for at, v in enumerate((y - q, q * (1 - q))):
+                for f in range(x.shape[1]):
+                    np.add.at(out[:, f, :, at], ((bins[:, j] > k).astype(int), bins[:, f]), np.rint(v * UNIT).astype(np.int64) * n)
+            return out
+
+        self._grow(sums, trees, rate)
+
+    @classmethod
+    def of_table(cls, cuts: list[np.ndarray], share: float, binned: DataFrame, trees: int = TREES, rate: float = RATE) -> Boosted:
+        """Fitted to a table of y, bins x and counts n; a step sends the driver sums by side, feature and bin."""
+        self = cls.__new__(cls)
+        self._start(cuts, share)
+
+        def sums(j: int, k: int) -> np.ndarray:
+            q = 1 / (1 + F.exp(-self.of_bins(F.col("x"))))
+            side = F.transform(F.array(F.struct(F.lit(j).alias("j"), F.lit(k).alias("k"))), lambda s: (F.get("x", s["j"]) > s["k"]).cast("int"))[0]
+            whole = lambda v: F.rint(v * UNIT).cast("long") * F.col("n")
+            rows = binned.select(side.alias("side"), whole(F.col("y") - q).alias("g"), whole(q * (1 - q)).alias("h"), F.posexplode("x").alias("f", "b"))
+            out = np.zeros((2, len(cuts), CUTS + 1, 2), np.int64)
+            for r in rows.groupBy("side", "f", "b").agg(F.sum("g"), F.sum("h")).collect():
+                out[r[0], r[1], r[2]] = r[3:]
+            return out
+
+        self._grow(sums, trees, rate)
+        return self
+
+    def _start(self, cuts: list[np.ndarray], share: float) -> None:
+        p = min(max(share, 1e-3), 1 - 1e-3)
+        self.bias, self.cuts, self.trees = round(math.log(p / (1 - p)) * STEP) / STEP, cuts, []
+
+    def _grow(self, sums, trees: int, rate: float) -> None:
+        """sums(j, k): gradient and curvature of the rows up to cut k of feature j and of those beyond, by feature and bin."""
+        leaf = lambda s: round(rate * float(s[0] / (s[1] + 1)) * STEP) / STEP
         for _ in range(trees):
-            q = 0.5 * (1 + np.tanh(0.5 * m))
-            g, h = y - q, q * (1 - q)
-
-            def split(ids, g=g, h=h):
-                best = (-1.0, 0, 0.0)
-                for j, ts in enumerate(cuts):
-                    for t in ts:
-                        a = x[ids, j] <= t
-                        gain = sum(g[ids][s].sum() ** 2 / (h[ids][s].sum() + 1) for s in (a, ~a))
-                        if gain > best[0] + 1e-9:
-                            best = (gain, j, float(t))
-                return best[1:]
-
-            leaf = lambda ids, g=g, h=h: rate * float(g[ids].sum() / (h[ids].sum() + 1))
-            j, t = split(np.arange(len(y)))
-            tree = [j, t]
-            for side in (np.flatnonzero(x[:, j] <= t), np.flatnonzero(x[:, j] > t)):
-                jj, tt = split(side) if len(side) else (0, 0.0)
-                tree.append((jj, tt, leaf(side[x[side, jj] <= tt]), leaf(side[x[side, jj] > tt])))
+            j, k, _ = best_split(sums(0, CUTS)[0], self.cuts)
+            tree = [j, k]
+            for side in sums(j, k):
+                jj, kk, parts = best_split(side, self.cuts)
+                tree.append((jj, kk, leaf(parts[0]), leaf(parts[1])))
             self.trees.append(tree)
-            m = self.margins(x)
 
-    def margins(self, x: np.ndarray) -> np.ndarray:
+    def bins(self, x: np.ndarray) -> np.ndarray:
+        """The number of cuts below each value."""
+        return np.stack([np.searchsorted(c, v) for c, v in zip(self.cuts, x.T)], 1)
+
+    def _of_bins(self, x: np.ndarray) -> np.ndarray:
         out = np.full(len(x), self.bias)
-        for j, t, lo, hi in self.trees:
-            for at, (jj, tt, a, b) in ((x[:, j] <= t, lo), (x[:, j] > t, hi)):
-                out += at * np.where(x[:, jj] <= tt, a, b)
+        for j, k, lo, hi in self.trees:
+            for at, (jj, kk, a, b) in ((x[:, j] <= k, lo), (x[:, j] > k, hi)):
+                out += at * np.where(x[:, jj] <= kk, a, b)
         return out
 
+    def margins(self, x: np.ndarray) -> np.ndarray:
+        return self._of_bins(self.bins(x))
+
+    def of_bins(self, x: Column) -> Column:
+        """The same sum from an array of bins. The trees are data of the expression: its code is the same for any trees."""
+        if not self.trees:
+            return F.lit(self.bias)
+        half = lambda s: F.struct(F.lit(s[0]).alias("j"), F.lit(s[1]).alias("k"), F.lit(s[2]).alias("a"), F.lit(s[3]).alias("b"))
+        trees = F.array(*(F.struct(F.lit(j).alias("j"), F.lit(k).alias("k"), half(lo).alias("lo"), half(hi).alias("hi")) for j, k, lo, hi in self.trees))
+        part = lambda s: F.when(F.get(x, s["j"]) <= s["k"], s["a"]).otherwise(s["b"])
+        return F.aggregate(trees, F.lit(self.bias), lambda m, t: m + F.when(F.get(x, t["j"]) <= t["k"], part(t["lo"])).otherwise(part(t["hi"])))
+
     def column(self, f: dict[str, Column]) -> Column:
-        """The same sum as an expression."""
+        """The same sum from the features."""
         out = F.lit(self.bias)
-        part = lambda jj, tt, a, b: F.when(f[FEATURES[jj]] <= tt, a).otherwise(b)
-        for j, t, lo, hi in self.trees:
-            out = out + F.when(f[FEATURES[j]] <= t, part(*lo)).otherwise(part(*hi))
+        below = lambda j, k: f[FEATURES[j]] <= float(self.cuts[j][k])
+        part = lambda jj, kk, a, b: F.when(below(jj, kk), a).otherwise(b)
+        for j, k, lo, hi in self.trees:
+            out = out + F.when(below(j, k), part(*lo)).otherwise(part(*hi))
         return out
 
 
@@ -177,36 +243,45 @@ def lower_bound(good: np.ndarray, n: np.ndarray, errors: float = ERRORS) -> np.n
     return (p + z / (2 * n) - errors * np.sqrt(p * (1 - p) / n + z / (4 * n * n))) / (1 + z / n)
 
 
-def fit(docs: DataFrame, text: str = "text", key: str = "doc_id") -> tuple[Boosted, dict[str, float]] | None:
-    """Trees and a threshold for each kind that has one, from about SAMPLE_CANDIDATES candidates: those of the documents
-    with the smallest hash of the key, as many as their number in all documents asks for. None where the marks of the
-    sample are all of one kind."""
-    docs = docs.select(F.col(text).alias("text"), F.xxhash64(key).alias("h"))
-    n, span = with_candidates(docs).agg(F.sum((F.size("base") + F.size("more")).cast("long"))).first()[0], 1 << 40
-    if not n:
-        return None
-    some = docs.where(F.pmod("h", F.lit(span)) < min(span, math.ceil(span * SAMPLE_CANDIDATES / n)))
-    rows = with_candidates(some).select(
-        "text", "h", F.explode(F.concat(F.transform("base", lambda x: F.struct(F.lit(1).alias("y"), x.alias("x"))), F.transform("more", lambda x: F.struct(_mark(F.col("text"), x).alias("y"), x.alias("x"))))).alias("c"))
+def counted(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """The candidates of all documents: `held` (a held-out document), `kind`, mark `y`, FEATURES, and how many are alike (`n`)."""
+    docs = docs.select(F.col(text).alias("text"), (F.pmod(F.xxhash64(key), F.lit(FOLDS)) == FOLDS - 1).alias("held"))
+    rows = with_candidates(docs).select(
+        "text", "held", F.explode(F.concat(F.transform("base", lambda x: F.struct(F.lit(1).alias("y"), x.alias("x"))), F.transform("more", lambda x: F.struct(_mark(F.col("text"), x).alias("y"), x.alias("x"))))).alias("c"))
     f = _features(F.col("text"), F.col("c.x"))
-    rows = rows.select("h", F.col("c.x.kind").alias("kind"), F.col("c.x.start").alias("start"), "c.y", *(f[k].alias(k) for k in FEATURES))
-    got = sorted(tuple(r) for r in rows.orderBy("h", "start", "kind").limit(SAMPLE_CANDIDATES).collect())
-    y = np.array([r[3] for r in got], float)
-    if not len(got) or y.min() == y.max():
+    rows = rows.select("held", F.col("c.x.kind").alias("kind"), "c.y", *(f[k].alias(k) for k in FEATURES))
+    return rows.groupBy("held", "kind", "y", *FEATURES).agg(F.count("*").alias("n"))
+
+
+def fit(docs: DataFrame, text: str = "text", key: str = "doc_id") -> tuple[Boosted, dict[str, float]] | None:
+    """Trees and a threshold for each kind that has one, from all candidates: the trees from those of the documents that
+    are not held out, the thresholds from those of the others. None where all marks are alike, or all documents with
+    candidates are held out."""
+    rows = common.stash(counted(docs, text, key), "pii_candidates")
+    n = {(r[0], r[1]): r[2] for r in rows.groupBy("held", "y").agg(F.sum("n")).collect()}
+    own = n.get((False, 0), 0) + n.get((False, 1), 0)
+    if not own or len({y for _, y in n}) < 2:
         return None
-    x, kinds = np.array([r[4:] for r in got], float), np.array([r[1] for r in got])
-    own = np.arange(len(got)) % 4 != 3
-    model = Boosted(x[own], y[own])
-    m, y, kinds = model.margins(x[~own]), y[~own], kinds[~own]
-    thresholds = {}
+    values = rows.where("not held").select("n", F.posexplode(F.array(*(F.col(k).cast("long") for k in FEATURES))).alias("f", "v"))
+    seen = np.array(values.groupBy("f", "v").agg(F.sum("n")).collect(), np.int64)
+    cuts = [quantiles(*seen[seen[:, 0] == j, 1:].T) for j in range(len(FEATURES))]
+
+    def bin_of(k: str, ts: np.ndarray) -> Column:
+        out = F
+        for b, t in enumerate(ts):
+            out = out.when(F.col(k) <= int(t), b)
+        return out.otherwise(len(ts))
+
+    binned = rows.select("held", "kind", "y", F.array(*(bin_of(k, ts) for k, ts in zip(FEATURES, cuts))).alias("x"), "n")
+    binned = common.stash(binned.groupBy("held", "kind", "y", "x").agg(F.sum("n").alias("n")), "pii_bins")
+    model = Boosted.of_table(cuts, n.get((False, 1), 0) / own, binned.where("not held"))
+    scores = binned.where("held").groupBy("kind", model.of_bins(F.col("x")).alias("m")).agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("y")).alias("good"))
+    thresholds, scores = {}, sorted(scores.collect(), key=lambda r: -r.m)
     for kind in KINDS:
-        order = np.flatnonzero(kinds == kind)
-        order = order[np.argsort(-m[order], kind="stable")]
-        precise = lower_bound(np.cumsum(y[order]), np.arange(1, len(order) + 1)) >= MIN_PRECISION
-        # the cut falls between scores: candidates that score alike are selected together
-        last = np.append(m[order][1:] != m[order][:-1], True)[: len(order)]
-        if (precise & last).any():
-            thresholds[kind] = float(m[order][np.flatnonzero(precise & last)[-1]])
+        m, n_to, good = np.array([(r.m, r.n, r.good) for r in scores if r.kind == kind], float).reshape(-1, 3).T
+        precise = lower_bound(np.cumsum(good), np.cumsum(n_to)) >= MIN_PRECISION
+        if precise.any():
+            thresholds[kind] = float(m[np.flatnonzero(precise)[-1]])
     return model, thresholds
 
 

@@ -140,6 +140,28 @@ def test_fitting_sample_holds_sparse_candidates(spark, monkeypatch):
     assert pii.fit(df) is not None
 
 
+def test_all_candidates_are_fitted_to(spark):
+    # 2,000 addresses among 60,000 candidates: about 500 held out, enough to prove a precision of 0.99; a third of them are not
+    df = spark.range(60_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 30 == 0, "x@y.zz").otherwise("300.1.1.1").alias("text"))
+    assert "email" in pii.fit(df)[1]
+
+
+def test_table_and_rows_give_the_same_trees(spark):
+    texts = F.array(*map(F.lit, ["mail a.b@c.dd, +1 555 123 4567", "no 4111 1111 1111 1112 or 555 123 4567", "tel 555 123 4567, 300.1.1.1", "[4111111111111111] and 1.2.3.4"]))
+    df = spark.range(2_000).select(F.col("id").alias("doc_id"), F.concat(F.repeat(F.lit("w"), F.col("id").cast("int") % 7), F.lit(" "), F.get(texts, (F.col("id") % 4).cast("int"))).alias("text"))
+    rows = pii.counted(df).collect()
+    assert sum(r.n for r in rows) == pii.with_candidates(df).agg(F.sum(F.size("base") + F.size("more"))).first()[0]
+    own = [r for r in rows if not r.held]
+    x, y, n = np.array([r[3:-1] for r in own], float), np.array([r.y for r in own], float), np.array([r.n for r in own])
+    model, thresholds = pii.fit(df)
+    each = pii.Boosted(np.repeat(x, n, 0), np.repeat(y, n))
+    assert model.trees == each.trees == pii.Boosted(x, y, n=n).trees and model.bias == each.bias
+    for kind in pii.KINDS:
+        held = sorted(((float(m), r.y) for r in rows if r.held and r.kind == kind for m in model.margins(np.array([r[3:-1]], float)) for _ in range(r.n)), reverse=True)
+        good = [m for m in {m for m, _ in held} if pii.lower_bound(np.array([sum(y for v, y in held if v >= m)]), np.array([sum(v >= m for v, _ in held)]))[0] >= pii.MIN_PRECISION]
+        assert thresholds.get(kind) == min(good, default=None)
+
+
 def test_redaction(spark):
     df = spark.createDataFrame([("é x@y.z, 1.2.3.4!",), ("none",), (None,)], "text string")
     out = pii.select(df, None).select(pii.redacted(F.col("text"), F.col("spans")).alias("t")).collect()
