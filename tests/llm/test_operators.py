@@ -326,6 +326,39 @@ def test_units_seen_before_give_the_same_draws(monkeypatch):
         monkeypatch.setattr(pieces, "KEPT_BYTES", 8)
 
 
+def test_units_met_often_stay_in_the_lattice(monkeypatch):
+    v, built = pieces.vocabulary(), []
+    lattice = pieces.Lattice
+    monkeypatch.setattr(pieces, "Lattice", lambda text, size, v: built.append(text.tobytes()) or lattice(text, size, v))
+    monkeypatch.setattr(pieces, "KEPT_BYTES", 200)
+    units = pieces.Units(v)
+    for i in range(12):
+        text = "cat mat " * 9 + " ".join(f"{chr(97 + i)}{chr(97 + j)}xq" for j in range(8))
+        offs, data = common.texts_of(pa.array([text]))
+        fresh = list(segmentations(np.arange(1), offs, data, v, 3))
+        built.clear()
+        assert list(segmentations(np.arange(1), offs, data, v, 3, 1, units)) == fresh
+        assert built and (i == 0 or b" mat" not in b"".join(built))
+    assert units.nodes < 300
+
+
+def test_edges_of_a_node_run_from_the_longest():
+    v, text = pieces.vocabulary(), " thenational\u4e2d\r\n".encode()
+    table = {b: i for i, b in enumerate(v.bytes_of) if len(b) and i > 258}
+    t = pieces.Lattice(np.frombuffer(text, np.uint8), np.array([len(text)]), v)
+    for at in range(len(text)):
+        want = [table[text[at:end]] for end in range(len(text), at, -1) if text[at:end] in table]
+        found = t.id[t.first[at] : t.first[at + 1]].tolist()
+        assert found == want or (found[len(want) :] == [v.byte_id[text[at]]] and found[: len(want)] == want)
+        assert not found or t.p[t.first[at] : t.first[at + 1]].sum() == pytest.approx(1)
+
+
+def test_pieces_that_share_a_slot_are_found():
+    v = pieces.vocabulary()
+    assert v.shared.sum() > 1 and (v.find(v.hashes) == v.ids).all()
+    assert (v.find(v.hashes + np.uint64(1 << 40)) == -1).all()
+
+
 def test_language_rejects_what_says_nothing():
     coders = langid.encoders({"a": b"the cat and the dog " * 9, "b": b"der hund und die katze " * 9})
     assert langid.identify("the dog and the cat", coders)[0] == "a"
