@@ -55,6 +55,13 @@ def unseen(rows: DataFrame, seen: DataFrame, text: str = "question", order: str
     return one_per_key(keyed, "key", order)
 
 
+def spread(df: DataFrame, *keys: str, per: int, most: int = 4096) -> DataFrame:
+    """df dealt out by the hash of its keys, about `per` rows a partition, for steps whose work by row says nothing of its
+    bytes: a small file is one task to a scan, whatever its rows cost. Few rows stay where they are."""
+    parts = min(most, -(-df.count() // per))
+    return df.repartition(parts, *keys) if parts > 1 else df
+
+
 def numbered(df: DataFrame, order: list[Column | str], name: str = "ordinal") -> DataFrame:
     """df with its 1-based place in a total order, counted by ranges: one task sees only its own range. The ranges are
     written once, since two runs of one range shuffle need not cut alike; sizes are a row for each partition."""

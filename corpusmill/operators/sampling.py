@@ -7,24 +7,49 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T
+from corpusmill.operators.lookup import spread
+from corpusmill.sources import io
+
+
+#: Names of one block of a pool, names up to which the blocks go to every executor, and pairs of task and
+#: name that one Spark task looks at (a few seconds).
+BLOCK = 1024
+SENT = 100_000
+PAIRS = 1_000_000
 
 
 def weighted(tasks: DataFrame, pool: DataFrame, task: str, name: str, k: Column | int, weight: Column | None = None, seed: int = 0, purpose: str = "sample", most: int | None = None) -> DataFrame:
     """(task, name, rank): k distinct names for each task, in the order drawn. Weights of 0 or less are drawn, each as
-    likely, once no other is left; k of 0 or less draws none; k beyond the pool draws all. Every task meets the pool, which
-    a catalogue is; with k given as a number, or its bound as `most`, the pair rows are cut for each task before they move."""
-    most = k if isinstance(k, int) else most
+    likely, once no other is left; k of 0 or less draws none; k beyond the pool, or beyond `most`, draws all up to there.
+    A task that stands there m times meets each name m times. Every task meets the pool, but no pair is a row: the pool is
+    written once, in blocks that are arrays, and a task's row keeps the first k of each block. Tasks are dealt out by how
+    many pairs they make, so that neither time nor memory of a Spark task grows with them."""
     k = F.lit(k) if isinstance(k, int) else k
-    names = pool.select(F.col(name).alias("__name"), (F.lit(1.0) if weight is None else weight).cast("double").alias("__w"))
-    pairs = tasks.select(F.col(task).alias("__task"), k.alias("__k")).where("__k > 0").crossJoin(names)
-    weighs = F.coalesce(F.col("__w") > 0, F.lit(False))
-    key = T.race(T.uniform(seed, purpose, F.col("__task"), F.col("__name")), F.when(weighs, F.col("__w")).otherwise(1.0))
-    order = Window.partitionBy("__task").orderBy("__late", "__key", "__name")
-    ranked = pairs.withColumns({"__late": ~weighs, "__key": key}).withColumn("rank", F.row_number().over(order))
-    if most is not None:
-        ranked = ranked.where(F.col("rank") <= most)
-    ranked = ranked.where(F.col("rank") <= F.col("__k"))
-    return ranked.select(F.col("__task").alias(task), F.col("__name").alias(name), "rank")
+    k = F.least(k, F.lit(2**31 - 1 if most is None else most)).cast("int")
+    names = pool.select(F.col(name).alias("name"), (F.lit(1.0) if weight is None else weight).cast("double").alias("w"))
+    names = io.written(names, "pool")
+    size = names.count()
+    blocks = -(-size // BLOCK)
+    place = F.pmod(F.xxhash64("name"), F.lit(max(1, blocks)))
+    arrays = names.groupBy(place.alias("__block")).agg(F.collect_list(F.struct("name", "w")).alias("__pool")).select("__pool")
+
+    asked = tasks.select(F.col(task).alias("__task"), k.alias("__k")).where("__k > 0")
+    asked = spread(asked, "__task", per=max(1, PAIRS // max(1, size))).groupBy("__task", "__k").agg(F.count("*").cast("int").alias("__m"))
+    need = F.ceil(F.col("__k") / F.col("__m")).cast("int")
+
+    def entry(x):
+        weighs = F.coalesce(x["w"] > 0, F.lit(False))
+        key = T.race(T.uniform(seed, purpose, F.col("__task"), x["name"]), F.when(weighs, x["w"]).otherwise(1.0))
+        return F.struct((~weighs).alias("late"), key.alias("key"), x["name"].alias("name"))
+
+    first = F.slice(F.array_sort(F.transform("__pool", entry)), F.lit(1), need)
+    drawn = asked.crossJoin(arrays.hint("broadcast" if size <= SENT else "shuffle_replicate_nl")).select("__task", "__k", "__m", F.posexplode(first).alias("__at", "__x"))
+    if blocks > 1:
+        order = Window.partitionBy("__task", "__k").orderBy("__x")
+        drawn = drawn.withColumn("__at", F.row_number().over(order) - 1).where(F.col("__at") < need)
+    start = F.col("__at").cast("long") * F.col("__m")
+    ranks = F.sequence((start + 1).cast("int"), F.least(F.col("__k"), start + F.col("__m")).cast("int"))
+    return drawn.select(F.col("__task").alias(task), F.col("__x.name").alias(name), F.explode(ranks).alias("rank"))
 
 
 def seed_apis(tasks: DataFrame, docs: DataFrame, counts: DataFrame, k: Column | int, alpha: float = 0.7, biased: bool = True, seed: int = 0, task: str = "task_id", name: str = "full_name", most: int | None = None) -> DataFrame:

@@ -3,10 +3,11 @@
 import json
 
 import pytest
-from pyspark.sql import Observation
+from pyspark.sql import Observation, Window
 from pyspark.sql import functions as F
 
 from corpusmill import schemas
+from corpusmill.functions import text as T
 from corpusmill.operators import dedup, filters, lookup, metrics, packages, sampling
 from corpusmill.plans.evaluate import EvaluationConfig, Evaluator
 from corpusmill.plans.external import ChatClient, LocalRunner, mapped
@@ -63,6 +64,24 @@ def test_sampling(spark):
     assert sampling.weighted(tasks, pool, "task_id", "name", 0).count() == 0
 
 
+@pytest.mark.parametrize("block, sent", [(1024, 100_000), (2, 100_000), (2, 0)])
+def test_no_pair_of_task_and_name_is_a_row(spark, monkeypatch, block, sent):
+    """Draws as by a sort of all pairs, also for tasks that repeat, in blocks and with few pairs a Spark task."""
+    for at, value in (("BLOCK", block), ("SENT", sent), ("PAIRS", 40)):
+        monkeypatch.setattr(sampling, at, value, raising=False)
+    asked = [(i, i % 4) for i in range(30)] + [(7, 3), (7, 3), (11, 3), (40, 9)]
+    tasks = spark.createDataFrame(asked, "task_id long, k long").coalesce(1)
+    pool = spark.createDataFrame([("a", 1.0), ("b", 3.0), ("c", 0.0), ("d", None), ("e", 0.5)], "name string, w double")
+    got = sampling.weighted(tasks, pool, "task_id", "name", F.col("k"), F.col("w"), 5, "p", most=4)
+    pairs = tasks.crossJoin(pool).withColumn("late", ~F.coalesce(F.col("w") > 0, F.lit(False)))
+    key = T.race(T.uniform(5, "p", F.col("task_id"), F.col("name")), F.when(~F.col("late"), F.col("w")).otherwise(1.0))
+    rank = F.row_number().over(Window.partitionBy("task_id").orderBy("late", key, "name"))
+    want = pairs.withColumn("rank", rank).where("rank <= least(k, 4)").select("task_id", "name", "rank")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.schema == want.schema
+    assert not sent or got.select(F.spark_partition_id()).distinct().count() > 1
+    assert block == 2 or "Window" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_one_per_key_and_prefixes(spark):
     df = spark.createDataFrame([("x", 2, "b"), ("x", 1, "a"), ("y", 5, None)], "k string, o int, v string")
     assert {(r.k, r.v) for r in lookup.one_per_key(df, "k", "o").collect()} == {("x", "a"), ("y", None)}
