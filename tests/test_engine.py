@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 from corpusmill import schemas
 from corpusmill.functions import text as T
 from corpusmill.operators import dedup, filters, lookup, metrics, packages, sampling
+from corpusmill.plans import catalogue
 from corpusmill.plans.evaluate import EvaluationConfig, Evaluator
 from corpusmill.plans.external import ChatClient, LocalRunner, mapped
 from corpusmill.plans.loop import FusionLoop, LoopOptions, SynthesisLoop, SynthesisSpec, fuse_depths
 from corpusmill.sources import io, live
 from corpusmill.streaming import arrivals
+from tests.compare import SF
 
 LINES = "a bigint, b string"
 
@@ -82,6 +84,13 @@ def test_no_pair_of_task_and_name_is_a_row(spark, monkeypatch, block, sent):
     assert block == 2 or "Window" not in got._jdf.queryExecution().executedPlan().toString()
 
 
+def test_seed_apis_sorts_no_pairs(spark):
+    got = catalogue.QUERIES["seed_apis"](spark, SF)
+    got.collect()
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "BroadcastNestedLoopJoin" in plan
+
+
 def test_one_per_key_and_prefixes(spark):
     df = spark.createDataFrame([("x", 2, "b"), ("x", 1, "a"), ("y", 5, None)], "k string, o int, v string")
     assert {(r.k, r.v) for r in lookup.one_per_key(df, "k", "o").collect()} == {("x", "a"), ("y", None)}
