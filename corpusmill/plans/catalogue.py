@@ -478,11 +478,20 @@ def counts_at_draw(spark, sf_dir):
 # ---------------------------------------------------------------- code
 
 
+#: Rows that one Spark task hands to Python, at about a millisecond each.
+PARSED = 5_000
+
+
+def _parts(t: Tables) -> DataFrame:
+    """Parts dealt out for Python: their file is small, so that a scan has few tasks, but a row's parse is not."""
+    return lookup.spread(t.part.select("p_partkey", "p_name", "p_type"), "p_partkey", per=PARSED)
+
+
 def _code(t: Tables) -> DataFrame:
     """Sources whose names are known from the columns."""
     name, first = F.replace("p_name", F.lit(" "), F.lit(".")), F.element_at(F.split("p_name", " "), 1)
     code = F.concat(F.lit("import lib as l\n\ndef f"), "p_partkey", F.lit('(x):\n    """Doc."""\n    y = l.'), first, F.lit("(x)\n    return l."), name, F.lit("(y)\n"))
-    return t.part.select("p_partkey", code.alias("code"), F.concat(F.lit("assert f"), "p_partkey", F.lit("(1)\n")).alias("test"))
+    return _parts(t).select("p_partkey", code.alias("code"), F.concat(F.lit("assert f"), "p_partkey", F.lit("(1)\n")).alias("test"))
 
 
 @query("""SELECT p_partkey, 'lib.' || split_part(p_name, ' ', 1) || ',lib.' || replace(p_name, ' ', '.')
@@ -513,7 +522,7 @@ SELECT p_partkey, CASE p_partkey % 6 WHEN 3 THEN '[1]' || chr(10) WHEN 4 THEN 'T
 def parsed_replies(spark, sf_dir):
     """Replies as JSON, as blocks in the wrong order, as fenced values in JSON, as other values, as lines, as nothing."""
     m, p = F.col("p_partkey") % 6, F.col("p_partkey").cast("string")
-    t = Tables(spark, sf_dir).part.select("p_partkey", F.concat(F.lit("import lib as l\n\ndef f"), p, F.lit("(x):\n    return x")).alias("code"), F.concat(F.lit("assert f"), p, F.lit("(1)")).alias("test"))
+    t = _parts(Tables(spark, sf_dir)).select("p_partkey", F.concat(F.lit("import lib as l\n\ndef f"), p, F.lit("(x):\n    return x")).alias("code"), F.concat(F.lit("assert f"), p, F.lit("(1)")).alias("test"))
     json = lambda a, b: F.to_json(F.struct(a.alias("answer"), b.alias("test")))
     code, test = F.col("code"), F.col("test")
     reply = F.when(m == 0, F.concat(F.lit("Sure: "), json(code, test), F.lit(" ok"))).when(m == 1, F.concat(_fenced("python", test), _fenced("", code)))
@@ -524,7 +533,7 @@ def parsed_replies(spark, sf_dir):
 
 @query("SELECT event_id, CASE WHEN event_id % 3 = 2 THEN NULL ELSE '{\"k\":' || json_extract_string(props, '$.k') || '}' END AS o FROM events")
 def parsed_objects(spark, sf_dir):
-    e, m = Tables(spark, sf_dir).events, F.col("event_id") % 3
+    e, m = lookup.spread(Tables(spark, sf_dir).events.select("event_id", "props"), "event_id", per=10 * PARSED), F.col("event_id") % 3
     return e.select("event_id", C.parse_object(F.when(m == 0, _fenced("json", F.col("props"))).when(m == 1, F.concat(F.lit("So } it is "), "props", F.lit(" or {"))).otherwise("[1, 2]")).alias("o"))
 
 
@@ -535,7 +544,7 @@ def stripped_docstrings(spark, sf_dir):
 
 @query("SELECT p_partkey, '# ' || p_name || ' ' || p_type AS doc FROM part")
 def wrapped_docs(spark, sf_dir):
-    return Tables(spark, sf_dir).part.select("p_partkey", C.wrap_comment(F.concat_ws(" ", "p_name", "p_type")).alias("doc"))
+    return _parts(Tables(spark, sf_dir)).select("p_partkey", C.wrap_comment(F.concat_ws(" ", "p_name", "p_type")).alias("doc"))
 
 
 @query(f"WITH d AS ({_SQL_DOCS}) SELECT p_partkey, 'API' || chr(10) || '- ' || full_name || signature || chr(10) || '# ' || docstring || chr(10) || '- lib.none' || chr(10) AS block FROM part JOIN d ON d.full_name = {_SQL_NAME}")

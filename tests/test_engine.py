@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 from corpusmill import schemas
 from corpusmill.functions import text as T
 from corpusmill.operators import dedup, filters, lookup, metrics, packages, sampling
-from corpusmill.plans import catalogue
+from corpusmill.plans import catalogue, stage_queries  # noqa: F401  registers its queries
 from corpusmill.plans.evaluate import EvaluationConfig, Evaluator
 from corpusmill.plans.external import ChatClient, LocalRunner, mapped
 from corpusmill.plans.loop import FusionLoop, LoopOptions, SynthesisLoop, SynthesisSpec, fuse_depths
 from corpusmill.sources import io, live
 from corpusmill.streaming import arrivals
-from tests.compare import SF
+from tests.compare import SF, assert_same
 
 LINES = "a bigint, b string"
 
@@ -91,6 +91,15 @@ def test_seed_apis_sorts_no_pairs(spark):
     assert "Window" not in plan and "BroadcastNestedLoopJoin" in plan
 
 
+@pytest.mark.parametrize("name", ["used_apis", "target_functions", "validated_code", "parsed_replies", "stripped_docstrings", "wrapped_docs", "docs_as_json", "parsed_objects"])
+def test_rows_are_dealt_out_to_python(spark, monkeypatch, name):
+    monkeypatch.setattr(catalogue, "PARSED", 20, raising=False)
+    got = catalogue.QUERIES[name](spark, SF)
+    assert got.select(F.spark_partition_id()).distinct().count() > 1
+    if name == "used_apis":
+        assert_same(got, catalogue.ORACLE_SQL[name])
+
+
 def test_one_per_key_and_prefixes(spark):
     df = spark.createDataFrame([("x", 2, "b"), ("x", 1, "a"), ("y", 5, None)], "k string, o int, v string")
     assert {(r.k, r.v) for r in lookup.one_per_key(df, "k", "o").collect()} == {("x", "a"), ("y", None)}
