@@ -1,5 +1,6 @@
 """Scans, sinks, joins, sampling, reflection, package mining, evaluation, loops and streams on small inputs."""
 
+import hashlib
 import json
 
 import pytest
@@ -259,6 +260,22 @@ def test_streams(spark, tmp_path):
     assert "window" in arrivals.usage_stream(stream, "at").columns and "key" in arrivals.keyed(stream, "question").columns
 
 
+def test_arrivals_are_written_as_they_are_scanned(spark, tmp_path, monkeypatch):
+    """No task gathers a batch: each scan task leaves files of its own, and three batches take them all."""
+    rows = [(i if i % 9 else None, None if i % 11 == 0 else f"text  {i % 50}", "en", "s", 1) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.repartition(8).write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(stage_queries, "_folder", lambda spark, name: str(tmp_path / name))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+    try:
+        got = catalogue.QUERIES["streamed_questions"](spark, str(tmp_path))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted(map(tuple, got.collect())) == sorted((hashlib.md5(f"text {i}".encode()).hexdigest(), 1) for i in range(50))
+    assert len(list((tmp_path / "stream/in").glob("*.parquet"))) >= 8
+    assert {r.batch for r in spark.read.parquet(str(tmp_path / "stream/out")).collect()} <= {0, 1, 2}
+
+
 def test_tally_counts_first_attempts(spark):
     df = spark.createDataFrame([(1, 1, True), (1, 2, False), (1, 3, True)], "idx int, attempt int, passed boolean")
     assert metrics.tally(df, ["idx"], 2).first().c == 1
